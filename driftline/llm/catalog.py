@@ -5,6 +5,7 @@ from __future__ import annotations
 from driftline.llm.matroska import op8_matroska
 from driftline.llm.merkle import OP1_SQL, op1_merkle
 from driftline.llm.mixing import op5_mixing
+from driftline.llm.pii import op4_pii
 from driftline.llm.quality import op2_quality
 from driftline.llm.simhash import op3_simhash
 from driftline.llm.warc import OP10_SQL, op10_warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_merkle": op1_merkle,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op8_matroska": op8_matroska,
     "op10_warc": op10_warc,
