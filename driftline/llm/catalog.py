@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from driftline.llm.hmm import op6_hmm
 from driftline.llm.matroska import op8_matroska
 from driftline.llm.merkle import OP1_SQL, op1_merkle
 from driftline.llm.mixing import op5_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
+    "op6_hmm": op6_hmm,
     "op8_matroska": op8_matroska,
     "op10_warc": op10_warc,
 }
