@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from driftline.llm.hmm import op6_hmm
+from driftline.llm.html_main import op7_html
 from driftline.llm.matroska import op8_matroska
 from driftline.llm.merkle import OP1_SQL, op1_merkle
 from driftline.llm.mixing import op5_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_hmm": op6_hmm,
+    "op7_html": op7_html,
     "op8_matroska": op8_matroska,
     "op10_warc": op10_warc,
 }
