@@ -7,6 +7,7 @@ from driftline.llm.html_main import op7_html
 from driftline.llm.matroska import op8_matroska
 from driftline.llm.merkle import OP1_SQL, op1_merkle
 from driftline.llm.mixing import op5_mixing
+from driftline.llm.pieces import op9_pieces
 from driftline.llm.pii import op4_pii
 from driftline.llm.quality import op2_quality
 from driftline.llm.simhash import op3_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_hmm": op6_hmm,
     "op7_html": op7_html,
     "op8_matroska": op8_matroska,
+    "op9_pieces": op9_pieces,
     "op10_warc": op10_warc,
 }
 SQL = {
