@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm.common import keep, own_text, table
 
@@ -91,17 +93,18 @@ class RuleEnsemble:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
+        """Over columns named as STATS, after a prefix."""
         total = F.lit(float(self.bias))
         for rule, weight in self.rules:
-            total = total + F.when(condition(rule), float(weight)).otherwise(0.0)
+            total = total + F.when(condition(rule, prefix), float(weight)).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def condition(rule: Rule) -> Column:
+def condition(rule: Rule, prefix: str = "") -> Column:
     out = F.lit(True)
     for name, at_most, value in rule:
-        out = out & ((F.col(name) <= value) if at_most else (F.col(name) > value))
+        out = out & ((F.col(prefix + name) <= value) if at_most else (F.col(prefix + name) > value))
     return out
 
 
@@ -119,10 +122,10 @@ def paths(node, so_far: Rule = ()) -> Iterator[Rule]:
 
 def fit(labelled: DataFrame) -> RuleEnsemble:
     """labelled: STATS and label (0 or 1). With one class or no row at all the score is a constant near that class's share."""
-    n = {int(r.label): r["count"] for r in labelled.groupBy("label").count().collect()}
+    rows = keep(labelled.select(array_to_vector(F.array(*STATS)).alias("features"), F.col("label").cast("double").alias("label"), *STATS), "labelled")
+    n = {int(r.label): r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return RuleEnsemble(float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))), ())
-    rows = keep(labelled.select(array_to_vector(F.array(*STATS)).alias("features"), F.col("label").cast("double").alias("label"), *STATS), "labelled")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=max(1, sum(n.values()) // 500)).fit(rows)
     rules = sorted({rule for tree in forest.trees for rule in paths(tree._call_java("rootNode"))})
     if not rules:
@@ -137,6 +140,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def _learned(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the rows that are learned from, about MOST_LABELS at most."""
+    marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
+    n = marks.count()
+    return marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < MOST_LABELS) if n > MOST_LABELS else marks
+
+
+@F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
+def statistics_of(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS), dtype=float)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (all their columns) whose score reaches the threshold. Repeated rows share their score; null texts
+    are scored as empty ones. The labels' ids name documents of docs."""
+    marks = _learned(labels).withColumnRenamed("doc_id", "__id")
+    learned = docs.select(F.col("doc_id").cast("long").alias("__id"), own_text().alias("text")).join(marks, "__id")
+    model = fit(learned.select(statistics_of("text").alias("s"), "label").select("s.*", "label"))
+    scored = docs.withColumn("__stats", statistics_of(own_text()))
+    return scored.where(model.score("__stats.") >= threshold).select(docs.columns)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
 
@@ -144,11 +169,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     learned; repeated rows count as often as they occur. Other columns are left out. An empty table gives none.
     """
     stats = keep(with_statistics(docs), "statistics")
-    marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
-    n = marks.count()
-    if n > MOST_LABELS:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < MOST_LABELS)
-    model = fit(stats.join(marks, "doc_id"))
+    model = fit(stats.join(_learned(labels), "doc_id"))
     scored = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
