@@ -1,12 +1,14 @@
-"""The library's queries over the driver's tables, and their SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from driftline.plans import state_queries  # noqa: F401
+from driftline.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return QUERIES["j5_asof_latest"](spark, sf_dir)
