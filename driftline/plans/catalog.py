@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.plans import state_queries  # noqa: F401
+from driftline.plans import decision_queries, state_queries  # noqa: F401
 from driftline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["j5_asof_latest"](spark, sf_dir)
+    return decision_queries.ranked(spark, sf_dir, 3).select("request_id", "station_id", "service", "rank", "final_cost_s")
