@@ -401,7 +401,9 @@ def extract(pages: DataFrame, model: Potentials, most_nodes: int = 200_000) -> D
 def main_text(pages: DataFrame) -> DataFrame:
     """extract() with potentials trained on laid-out pages and on marked pages of the table, chosen by a hash of their id."""
     marked = pages.where(F.lower("html").contains("<article") & (F.length("html") < 50_000))
-    chosen = marked.select("html", F.xxhash64("page_id").alias("h")).orderBy("h", "html").limit(MOST_LABELLED).collect()
+    # the ids first, so that tasks send the driver numbers and not pages
+    hashes = [r.h for r in marked.select(F.xxhash64("page_id").alias("h")).orderBy("h").limit(MOST_LABELLED).collect()]
+    chosen = marked.where(F.xxhash64("page_id").isin(hashes)).select("html").orderBy("html").limit(MOST_LABELLED).collect() if hashes else []
     return extract(pages, fit([r.html for r in chosen]))
 
 
