@@ -29,7 +29,7 @@ from driftline.llm.common import own_text, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED, ZIPF = 0.5, 3, 10.0
 #: Characters of the texts that are sampled together.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 SIGN = "▁"
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 
