@@ -43,7 +43,7 @@ def test_flagship_is_a_permutation_free_ranking(spark):
 
 
 def test_asof_boundaries(spark):
-    at = lambda s: pd.Timestamp(f"2026-01-01 00:00:{s}")
+    at = lambda s: pd.Timestamp(f"2026-01-01 00:00:{s}").to_pydatetime()
     states = spark.createDataFrame([("a", at("01"), 1.0), ("a", at("02"), 2.0), (None, at("01"), 9.0)], "k string, ts timestamp, v double")
     asks = spark.createDataFrame([(1, "a", at("00.999999")), (2, "a", at("01")), (3, "a", at("01.999999")), (4, "a", at("02")), (5, "b", at("02")), (6, None, at("02"))], "id int, k string, at timestamp")
     for bucket in (None, 1):
