@@ -59,3 +59,19 @@ def runs(values: Column) -> Column:
         return F.when(same, merged).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(values, F.filter(values, lambda x: F.lit(False)), step)
+
+
+def violations(rules: dict[str, Column]) -> Column:
+    """Names of the rules that hold, in order; a rule that is null does not."""
+    return F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
+
+
+def tags(text: Column) -> Column:
+    """map of a tag text `"k"=>"v", ...`."""
+    found = lambda i: F.regexp_extract_all(text, F.lit('"([^"]*)"=>"([^"]*)"'), F.lit(i))
+    return F.map_from_arrays(found(1), found(2))
+
+
+def sound_array(values: Column, least: int, most: int) -> Column:
+    """Length within bounds, and every number there, finite and not negative."""
+    return F.size(values).between(least, most) & F.forall(values, lambda x: finite(x) & F.coalesce(x >= 0, F.lit(False)))

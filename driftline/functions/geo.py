@@ -58,3 +58,22 @@ def coarser(cell: Column, by: int = 1) -> Column:
 def ring(cell: Column, k: int = 1) -> Column:
     """All cells at most k rows and columns away, itself included."""
     return F.array(*[cell + F.lit(i * _ROW + j) for i in range(-k, k + 1) for j in range(-k, k + 1)])
+
+
+def normal_heading(heading: Column) -> Column:
+    """360 degrees are 0."""
+    return F.when(heading == 360, 0).otherwise(heading)
+
+
+def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    return lat.between(south, north) & lon.between(west, east)
+
+
+def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Boxes (south, west, north, east), borders included."""
+    return (F.greatest(a[0], b[0]) <= F.least(a[2], b[2])) & (F.greatest(a[1], b[1]) <= F.least(a[3], b[3]))
+
+
+def close(a: Column, b: Column, absolute: float, relative: float) -> Column:
+    """Equal within the larger of both tolerances."""
+    return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.abs(b)), F.lit(False))

@@ -93,3 +93,46 @@ def expected_queue_wait(queue: Column, service_min: Column, active: Column) -> C
     return F.try_divide(queue * service_min, active)
 
 
+
+
+def reserve(trip_km: Column, given_km: Column) -> Column:
+    """The given reserve, else 15 % of the trip and at least 1 km; null for an unknown trip."""
+    return F.coalesce(given_km, F.when(trip_km.isNotNull(), F.greatest(F.lit(1.0), trip_km * 0.15)))
+
+
+def effective_consumption(wh_per_km: Column, car: Column) -> Column:
+    return F.coalesce(wh_per_km, F.when(car, 150.0).otherwise(45.0)).cast("double")
+
+
+def soc_after(soc: Column, used_kwh: Column, capacity: Column) -> Column:
+    """Charge in percent after using (or, below zero, gaining) energy, within 0 to 100."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), soc - F.try_divide(used_kwh * 100.0, capacity)))
+
+
+def installed_capacity(modules: Column, module_kwh: Column, listed_kwh: Column) -> Column:
+    """Whole numbers of modules decide; anything else leaves the listed capacity."""
+    return F.when((modules > 0) & (modules == F.floor(modules)), modules * module_kwh).otherwise(listed_kwh).cast("double")
+
+
+def can_charge(capable: Column, slots: Column, plug: Column, plugs: Column) -> Column:
+    return F.coalesce(capable & (slots > 0) & F.array_contains(plugs, plug), F.lit(False))
+
+
+def can_swap(capable: Column, slots: Column, family: Column, families: Column) -> Column:
+    return F.coalesce(capable & (slots > 0) & F.array_contains(families, family), F.lit(False))
+
+
+def refreshed_duration(service: Column, estimated_s: Column, swap_min: Column) -> Column:
+    """Newer state changes how long a swap takes; charging keeps its estimate."""
+    return F.when(service == "SWAP", swap_min * 60.0).otherwise(estimated_s)
+
+
+def step_energy(v0: Column, v1: Column, seconds: Column, mass: Column) -> tuple[Column, Column]:
+    """(kW at mid-speed, kWh) of a step of at most an hour on level ground; longer steps have none."""
+    kw = F.when((seconds > 0) & (seconds <= 3600), power_kw((v0 + v1) / 2, (v1 - v0) / seconds, F.lit(0.0), mass))
+    return kw, kw * seconds / 3600.0
+
+
+def delay_consistent(delay: Column, free_kmh: Column, kmh: Column, tolerance: float) -> Column:
+    """Whether a delay factor is free speed over speed, up to rounding."""
+    return F.coalesce(F.abs(delay - F.try_divide(free_kmh, kmh)) <= tolerance, F.lit(False))

@@ -27,3 +27,9 @@ def mode(df: DataFrame, keys: list[str], value: str, to: str = "mode") -> DataFr
     """The most frequent value of each group; of equally frequent ones the smallest."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(to))
+
+
+def parts(df: DataFrame, key: str, order: list[str], broken: Column) -> DataFrame:
+    """Adds part (0, 1, ... per key): a new one begins at each row where `broken` holds; null does not break."""
+    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("part", F.sum(F.when(broken, 1).otherwise(0)).over(w))
