@@ -77,3 +77,23 @@ def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 def close(a: Column, b: Column, absolute: float, relative: float) -> Column:
     """Equal within the larger of both tolerances."""
     return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.abs(b)), F.lit(False))
+
+
+def between(lat1: Column, lon1: Column, lat2: Column, lon2: Column, share: Column) -> tuple[Column, Column]:
+    """(lat, lon) on the great circle, `share` of the way; at most half around the earth, across the antimeridian too."""
+    d = haversine(lat1, lon1, lat2, lon2, 1.0)
+    a, b = F.try_divide(F.sin((1 - share) * d), F.sin(d)), F.try_divide(F.sin(share * d), F.sin(d))
+    a, b = F.coalesce(a, 1 - share), F.coalesce(b, share)
+    r = F.radians
+    x = a * F.cos(r(lat1)) * F.cos(r(lon1)) + b * F.cos(r(lat2)) * F.cos(r(lon2))
+    y = a * F.cos(r(lat1)) * F.sin(r(lon1)) + b * F.cos(r(lat2)) * F.sin(r(lon2))
+    z = a * F.sin(r(lat1)) + b * F.sin(r(lat2))
+    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+
+
+def shared_interval(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """(from, to) in metres along the segment a-b that the segment c-d covers in the same direction; null where it does not."""
+    length = F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2))
+    along = lambda x, y: F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), length)
+    lo, hi = F.greatest(F.lit(0.0), along(cx, cy)), F.least(length, along(dx, dy))
+    return F.when(hi > lo, lo), F.when(hi > lo, hi)

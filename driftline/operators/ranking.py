@@ -46,8 +46,9 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column | str], to: str =
     numbered within their bucket, and each bucket begins where the counts of the earlier ones end; that running sum alone
     runs in one task, over one row a bucket."""
     df = df.withColumn("__bucket", bucket)
-    counts = df.groupBy("__bucket").agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__bucket", before.alias("__before"))
+    counts = df.groupBy(F.col("__bucket").alias("__of")).agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__of", before.alias("__before"))
     own = df.withColumn("__n", F.row_number().over(W.partitionBy("__bucket").orderBy(*order)))
-    return own.join(starts, "__bucket").withColumn(to, (F.col("__before") + F.col("__n")).cast("long")).drop("__bucket", "__n", "__before")
+    rows = own.join(starts, F.col("__bucket").eqNullSafe(F.col("__of")))
+    return rows.withColumn(to, (F.col("__before") + F.col("__n")).cast("long")).drop("__bucket", "__of", "__n", "__before")
