@@ -64,10 +64,10 @@ def a24_supporting_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("visible", F.col("drivers") >= 5)
 
 
-@query("a25_best_time", RANKED + "SELECT request_id, round(max(ref), 3) AS best_s, count(*) AS n FROM v GROUP BY request_id")
+@query("a25_best_time", RANKED + "SELECT request_id, floor(max(ref))::BIGINT AS whole_s, count(*) AS n FROM v GROUP BY request_id")
 def a25_best_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.col("travel_s") + F.col("wait_s") + F.col("service_s")
-    return ranked(spark, sf_dir).groupBy("request_id").agg(F.round(F.greatest(F.lit(1.0), F.min(total)), 3).alias("best_s"), F.count("*").alias("n"))
+    return ranked(spark, sf_dir).groupBy("request_id").agg(F.floor(F.greatest(F.lit(1.0), F.min(total))).alias("whole_s"), F.count("*").alias("n"))
 
 
 @query("a28_replay_changes", """

@@ -19,9 +19,9 @@ def p2_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_demand(spark, sf_dir).select("request_id", F.round(E.reserve(F.col("trip_km"), given), 4).alias("reserve_km"))
 
 
-@query("p3_energy_range", REQUEST + "SELECT request_id, round(energy, 4) AS energy_kwh, round(energy / consumption * 1000, 3) AS range_km FROM dem2")
+@query("p3_energy_range", REQUEST + "SELECT request_id, round(energy, 4) AS energy_kwh, round(energy / consumption * 1000, 8) AS range_km FROM dem2")
 def p3_energy_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_demand(spark, sf_dir).select("request_id", F.round("energy_kwh", 4).alias("energy_kwh"), F.round("range_km", 3).alias("range_km"))
+    return with_demand(spark, sf_dir).select("request_id", F.round("energy_kwh", 4).alias("energy_kwh"), F.round("range_km", 8).alias("range_km"))
 
 
 @query("p6_effective_consumption", REQUEST + """

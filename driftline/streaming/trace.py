@@ -31,34 +31,42 @@ def latest_state(events: DataFrame, key: str = "user_id", ts: str = "ts", value:
     return events.groupBy(key).agg(F.max(ts).alias(ts), F.max_by(value, F.struct(ts, value)).alias(value))
 
 
-TRACE = "user_id long, event_id long, ts_s double, status string, gap_reset boolean, since_match_m double"
-STATE = "last double, buffered long, stationary long, moved double, matched double, x double, recent array<long>"
+TRACE = "user_id long, event_id long, ts_s double, status string, gap_reset boolean, since_match_m double, generation long"
+STATE = "last double, buffered long, stationary long, moved double, matched double, x double, recent array<long>, hashes array<long>, generation long"
 
 
-def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: float = 5.0, every_s: float = 10.0, every_m: float = 50.0, remembered: int = 1000) -> DataFrame:
+def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: float = 5.0, every_s: float = 10.0, every_m: float = 50.0, remembered: int = 1000, forget_s: int | None = None) -> DataFrame:
     """A status for each observation (user_id, event_id, ts_s, x in metres) of a driver, in order of arrival.
 
-    DUPLICATE (an id seen before), STALE (older than the last; equal times are fine), WARM_UP (fewer than three since the
-    last gap), STATIONARY (three short steps, once matched), MATCHED (10 s or 50 m since the last match), else WAITING. A gap
-    of more than 60 s clears the buffer and the match but keeps the distance moved. State is one small row for each driver.
+    DUPLICATE (an id seen before), CONFLICT (an id seen before with another time or place; it changes nothing), STALE (older
+    than the last; equal times are fine), WARM_UP (fewer than three since the last gap), STATIONARY (three short steps, once
+    matched), MATCHED (10 s or 50 m since the last match), else WAITING. A gap of more than 60 s clears the buffer and the
+    match but keeps the distance moved; it also raises the generation, so that results asked for before it can be told from
+    newer ones. State is one small row for each driver, forgotten after forget_s seconds without observations if that is
+    given. Such a query has a batch whenever time passes: a finite replay (availableNow) would not end with it.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, buffered, still, moved, matched, x0, recent = state.get if state.exists else (None, 0, 0, 0.0, None, None, [])
-        recent, seen, out = list(recent), set(recent), []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, buffered, still, moved, matched, x0, recent, hashes, generation = state.get if state.exists else (None, 0, 0, 0.0, None, None, [], [], 0)
+        seen, out = dict(zip(recent, hashes, strict=True)), []  # in order of arrival
         for rows in batches:
             for r in rows.itertuples(index=False):
+                payload = hash((r.ts_s, r.x if r.x == r.x else None))  # numbers: the same in every process
                 if r.event_id in seen:
-                    out.append((key[0], r.event_id, r.ts_s, "DUPLICATE", False, moved))
+                    out.append((key[0], r.event_id, r.ts_s, "DUPLICATE" if seen[r.event_id] == payload else "CONFLICT", False, moved, generation))
                     continue
                 if last is not None and r.ts_s < last:
-                    out.append((key[0], r.event_id, r.ts_s, "STALE", False, moved))
+                    out.append((key[0], r.event_id, r.ts_s, "STALE", False, moved, generation))
                     continue
-                recent = [*recent, r.event_id][-remembered:]
-                seen = set(recent)
+                seen[r.event_id] = payload
+                if len(seen) > remembered:
+                    del seen[next(iter(seen))]
                 gap = last is not None and r.ts_s - last > gap_s
                 if gap:
-                    buffered, still, matched = 0, 0, None
+                    buffered, still, matched, generation = 0, 0, None, generation + 1
                 elif x0 is not None:
                     step = abs(r.x - x0)
                     moved, still = moved + step, still + 1 if step < still_m else 0
@@ -71,8 +79,22 @@ def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: flo
                     status, matched, moved = "MATCHED", r.ts_s, 0.0
                 else:
                     status = "WAITING"
-                out.append((key[0], r.event_id, r.ts_s, status, gap, moved))
-        state.update((last, buffered, still, moved, matched, x0, recent))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts_s", "status", "gap_reset", "since_match_m"])
+                out.append((key[0], r.event_id, r.ts_s, status, gap, moved, generation))
+        state.update((last, buffered, still, moved, matched, x0, list(seen), list(seen.values()), generation))
+        if forget_s:
+            state.setTimeoutDuration(forget_s * 1000)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts_s", "status", "gap_reset", "since_match_m", "generation"])
 
-    return events.select("user_id", "event_id", "ts_s", "x").groupBy("user_id").applyInPandasWithState(run, TRACE, STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "event_id", "ts_s", "x").groupBy("user_id").applyInPandasWithState(run, TRACE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_s else GroupStateTimeout.NoTimeout)
+
+
+def ticks(spark: SparkSession, every_s: int = 30) -> DataFrame:
+    """An endless stream of (at, tick): one row every so many seconds."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rows.where(F.col("value") % every_s == 0).select(F.col("timestamp").alias("at"), F.floor(F.col("value") / every_s).alias("tick"))
+
+
+def replay(rows: DataFrame, into: str, checkpoint: str) -> int:
+    """Runs a finite stream as fast as it goes into Parquet, and returns how many rows have arrived there."""
+    rows.writeStream.format("parquet").option("path", into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.parquet(into).count()
