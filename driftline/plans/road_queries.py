@@ -182,7 +182,7 @@ def t8_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t10_spaced")
 def t10_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as places more than 700 m apart, in order of their key. No SQL: tested against a plain greedy loop."""
+    """Customers as places more than 700 m apart, taken in a hashed order. No SQL: tested against a plain greedy loop."""
     a, _ = points(spark, sf_dir)
     return selection.spaced(a.withColumnRenamed("point_id", "place_id"), 700.0, 8)
 
