@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing, pieces, pii, quality, simhash
+from driftline.llm import mixing, overlap, pieces, pii, quality, simhash
 from driftline.llm.common import keep, own_text, table
 
 
@@ -20,8 +20,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
+    """As drop_near_copies, by op3_simhash's contract (four words, four bits); the pipeline does not use it."""
+    return _first_of(docs, simhash.near_duplicates(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (0.8 of the five-word shingles or more) the document with the smallest doc_id stays."""
+    return _first_of(docs, overlap.near_copies(docs))
+
+
+def _first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return one.union(docs.where("doc_id is null"))
@@ -49,7 +57,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_near_copies),
     ("personal_data", mask_personal_data),
     ("mixing", mix_sources),
     ("pieces", to_pieces),
