@@ -5,7 +5,7 @@ from __future__ import annotations
 from driftline.llm.hmm import op6_hmm
 from driftline.llm.html_main import op7_html
 from driftline.llm.matroska import op8_matroska
-from driftline.llm.merkle import OP1_SQL, op1_merkle
+from driftline.llm.merkle import OP1_SQL, op1_merkle, op1_merkle_near
 from driftline.llm.mixing import op5_mixing
 from driftline.llm.pieces import op9_pieces
 from driftline.llm.pii import op4_pii
@@ -15,6 +15,7 @@ from driftline.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_merkle": op1_merkle,
+    "op1_merkle_near": op1_merkle_near,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,

@@ -1,0 +1,16 @@
+"""Likeness by overlapping shingles."""
+
+from driftline.llm import merkle
+
+
+def test_a_word_inserted_at_the_start(spark):
+    line = " ".join(f"word{i}" for i in range(120))
+    unspaced = "".join(chr(0x4E00 + i) for i in range(400))
+    rows = [(1, line), (2, "new " + line), (3, unspaced), (4, "X" + unspaced), (5, None), (6, " "), (7, "one two"), (8, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in merkle.near_documents(df).collect()}
+    assert got[1].near_next > 0.98 and got[3].near_next > 0.98 and got[2].near_next == 0.0
+    assert got[4].near_edited == 2 * 198 / (398 + 198)  # 201 of 401 characters kept, nothing after them
+    assert [got[i].near_next for i in (5, 6, 7)] == [0.0, 0.0, 1.0]
+    old = {r.doc_id: r.v for r in merkle.fingerprint_documents(df).select("doc_id", merkle.likeness("own", "following").alias("v")).collect()}
+    assert old[1] == 0.0  # what op1_merkle's fixed pieces give
