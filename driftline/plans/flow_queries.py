@@ -106,7 +106,17 @@ SELECT route, count(*) AS points, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM k
 def j16_point_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a route lies within 40 m of given places, by its samples: an approximation of buffer and intersection. The
     remainder is the feature: which routes are audited."""
-    samples = roads.resampled(vertices(spark, sf_dir).where("route % 20 = 0"), "route", "k", 25.0)
+    return _coverage(spark, sf_dir, vertices(spark, sf_dir).where("route % 20 = 0"))
+
+
+@query("j16_all_routes")
+def j16_all_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j16_point_coverage of every route. No SQL: tested against all samples by all places."""
+    return _coverage(spark, sf_dir, vertices(spark, sf_dir))
+
+
+def _coverage(spark: SparkSession, sf_dir: str, routes: DataFrame) -> DataFrame:
+    samples = roads.resampled(routes, "route", "k", 25.0)
     k = F.col("s_suppkey")
     tile = lambda c, by=0: F.floor(F.col(c) / 40) + by
     places = table(spark, sf_dir, "supplier").select((3.3 + k * 37 % 970).alias("sx"), (3.7 + k * 53 % 890).alias("sy"))

@@ -72,3 +72,17 @@ def test_departures_are_dated_by_the_run(spark):
     assert got.departed_at.tolist() == [25.0] and got.along_m.tolist() == [80.0]
     points.loc[5:, "t"] += 100  # the gap forgets that the driver was on the corridor
     assert trajectory.departures(points).departures.tolist() == [0] and trajectory.departures(points).uncertain.tolist() == [1]
+
+
+def test_coverage_of_every_route(spark):
+    from driftline.operators import roads
+    from driftline.plans.flow_queries import vertices
+
+    k = [r.s_suppkey for r in spark.read.parquet(f"{SMALL}/supplier.parquet").collect()]
+    places = [(3.3 + i * 37 % 970, 3.7 + i * 53 % 890) for i in k]
+    want = {}
+    for r in roads.resampled(vertices(spark, SMALL), "route", "k", 25.0).collect():
+        n, hit = want.get(r.route, (0, 0))
+        want[r.route] = (n + 1, hit + any((x - r.x) ** 2 + (y - r.y) ** 2 <= 1600.0 for x, y in places))
+    assert {r.route: (r.points, r.covered) for r in QUERIES["j16_all_routes"](spark, SMALL).collect()} == want
+    assert {i % 20 for i in want} == set(range(20))
