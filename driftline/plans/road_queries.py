@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions import geo
@@ -127,6 +128,18 @@ def j23_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.adjacent_nodes(pairs, v).select("pair_id", "ways")
 
 
+
+@query("j23_all_pairs", WAYS + """,
+d AS (SELECT way_id, pos, node AS a, la1 * 4000000000 + lo1 AS b FROM n WHERE la1 IS NOT NULL), u AS (SELECT a, b, way_id AS w FROM d UNION ALL SELECT b, a, way_id FROM d)
+SELECT d.way_id, d.pos::BIGINT AS position, count(DISTINCT w) AS ways FROM d LEFT JOIN u USING (a, b) GROUP BY ALL""")
+def j23_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways of all neighbouring nodes of all ways; j23_adjacency looks up the first two nodes of one way in ten."""
+    v = ways(spark, sf_dir).select("way_id", F.posexplode("nodes").alias("position", "n")).select("way_id", "position", roads.node_id(F.col("n.lat"), F.col("n.lon")).alias("node"))
+    after = v.withColumn("b", F.lead("node").over(W.partitionBy("way_id").orderBy("position"))).where("b is not null")
+    pairs = after.select(F.struct("way_id", F.col("position").cast("long").alias("position")).alias("pair_id"), F.col("node").alias("a"), "b")
+    return roads.adjacent_nodes(pairs, v).select("pair_id.*", "ways")
+
+
 @query("g2_rings", """
 WITH c AS (SELECT s_suppkey, 21000 + s_suppkey % 7 AS r, 105800 + s_suppkey % 5 AS c FROM supplier), o AS (SELECT (i // 5) - 2 AS i, (i % 5) - 2 AS j FROM range(25) t(i))
 SELECT (2000000 + r + i) * 8000000 + 2000000 + c + j AS cell, count(*) AS n FROM c, o GROUP BY ALL""")
