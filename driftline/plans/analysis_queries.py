@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions import expr, geo
 from driftline.operators import checks, paths, ranking, spatial, trajectory
-from driftline.plans.registry import query, table
+from driftline.plans.registry import SQL, query, table
 from driftline.sources import readers
 
 
@@ -164,6 +164,14 @@ def g9_bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.bounded_distances(e, e.where("a <= 5").select(F.col("a").alias("node")).distinct(), 3)
 
 
+
+@query("g9_all_sources", SQL["g9_bounded_paths"].replace(" WHERE a <= 5", ""))
+def g9_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g9_bounded_paths from every supplier."""
+    e = roads(spark, sf_dir)
+    return paths.bounded_distances(e, e.select(F.col("a").alias("node")).distinct(), 3)
+
+
 @query("g10_components", """
 WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey - o_custkey % 7 AS b FROM orders WHERE o_custkey % 11 <> 0),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM u)
@@ -173,6 +181,13 @@ def g10_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.weak_components(table(spark, sf_dir, "orders").where(k % 11 != 0).select(k.alias("a"), (k - k % 7).alias("b")).distinct())
 
 
+
+@query("g10_all_customers", SQL["g10_components"].replace(" WHERE o_custkey % 11 <> 0", ""))
+def g10_all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey")
+    return paths.weak_components(table(spark, sf_dir, "orders").select(k.alias("a"), (k - k % 7).alias("b")).distinct())
+
+
 @query("q1_dq_suite", """
 WITH r AS (
   SELECT 'orders_key' AS rule, (SELECT count(*) FROM orders) AS checked, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY ALL HAVING count(*) > 1 OR o_orderkey IS NULL)) AS failed UNION ALL

@@ -11,7 +11,7 @@ from driftline.operators import roads, selection
 from driftline.plans.analysis_queries import points
 from driftline.plans.analysis_queries import roads as edges
 from driftline.plans.decision_queries import pool_costs
-from driftline.plans.registry import query, table
+from driftline.plans.registry import SQL, query, table
 
 LEGS = """
 WITH p AS (SELECT l_orderkey AS route, l_linenumber AS k, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
@@ -175,6 +175,14 @@ def m3_great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_custkey % 80 > 0").select("c_custkey", F.round(lat, 6).alias("lat"))
 
 
+
+@query("m3_all_latitudes", SQL["m3_great_circle"].replace(" WHERE c_custkey % 80 > 0", ""))
+def m3_all_latitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m3_great_circle with latitude 0."""
+    lat, _ = geo.between((F.col("c_custkey") % 80).cast("double"), F.lit(170.0), F.lit(0.0), F.lit(-170.0), F.lit(0.5))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(lat, 6).alias("lat"))
+
+
 @query("m5_shared_intervals", """
 WITH x AS (SELECT l_linenumber, l_quantity AS c, l_quantity + l_discount * 300 - 10 AS d FROM lineitem), y AS (SELECT l_linenumber, greatest(0, c) AS lo, least(40, d) AS hi FROM x)
 SELECT l_linenumber, count(*) FILTER (WHERE hi > lo) AS n, round(sum(hi - lo) FILTER (WHERE hi > lo), 3) AS metres FROM y GROUP BY l_linenumber""")
