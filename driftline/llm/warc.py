@@ -1,15 +1,20 @@
 """WARC archives with revisit resolution.
 
 Headers (page, payload digest, length) are shuffled by digest; the largest page_id of each digest becomes the response, the
-others revisits that refer to it. The archives are written by Spark's text writer, whose line separator is the end of a WARC
-record, so they go to any store that Spark writes to; each record gets fresh headers, and a revisit carries no payload.
-Reading takes whole files (their size is bounded when they are written), walks the records by Content-Length, and joins
-each revisit to its response.
+others revisits that refer to it. What a digest resolves to goes back to the pages by a broadcast while it is small; of larger
+tables the digests of more than a ten-thousandth of the rows go by a broadcast (there are fewer than 10,000 of them) and the others by a
+shuffle in which no digest is hot.
+
+The archives are written by Spark's text writer, whose line separator is the end of a WARC record, so they go to any store that
+Spark writes to; each record gets fresh headers, and a revisit carries no payload. They are read in the same way, as a
+stream of lines of which a record takes as many as its Content-Length says, so that one record at a time is held, whatever
+the size of the file.
 """
 
 from __future__ import annotations
 
-import gzip
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records that a file holds at most.
 FILE_RECORDS = 4_000
+#: A key is hot that has more than this part of all rows, and at least so many of them.
+HOT_PART, HOT_ROWS = 10_000, 100_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -46,12 +53,25 @@ def resolve(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     group = F.concat_ws(":", "payload_digest", "payload_bytes")
     heads = rows.where(F.col("payload_bytes") >= least).groupBy(group.alias("same")).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    heads = keep(heads.where("n > 1").drop("n"), "heads")  # its size is known before the join: without copies no payload is shuffled
-    rows = rows.withColumn("same_as", group).join(heads, F.col("same_as") == F.col("same"), "left").drop("same", "same_as")
+    heads = keep(heads.where("n > 1"), "heads")  # its size is known before the join: without copies no payload is shuffled
+    rows = looked_up(rows.withColumn("same_as", group), "same_as", heads.withColumnRenamed("same", "same_as"), "last").drop("same_as")
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
 
 
+def looked_up(rows: DataFrame, key: str, found: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with `value` of `found` (key, value, n: how many rows have the key), null where there is none. Hot keys are
+    looked up in a broadcast of fewer than HOT_PART rows, so that no task gets all rows of one key."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(hot_rows, total // HOT_PART)
+    often = found.where(hot).select(F.col(key).alias("__often"), F.col(value).alias("__value"))
+    first = rows.join(F.broadcast(often), F.col(key) == F.col("__often"), "left")
+    rest = found.where(~hot).select(F.col(key).alias("__key"), value)
+    # a key that is looked up already takes part in the second join as null
+    out = first.withColumn("__rest", F.when(F.col("__often").isNull(), F.col(key))).join(rest, F.col("__rest") == F.col("__key"), "left")
+    return out.withColumn(value, F.coalesce("__value", value)).drop("__often", "__value", "__rest", "__key")
+
+
 def record(df: DataFrame) -> DataFrame:
     """The text of one WARC record for each row of resolve(), without its end. Record ids are URNs of page and digest."""
 
@@ -82,50 +102,68 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     record(resolve(pages, least)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and content of each record of one uncompressed archive."""
-    at, n = 0, len(data)
-    while at < n:
-        stop = data.find(END.encode(), at)
-        if not data.startswith(b"WARC/", at) or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:stop].decode().split("\r\n")[1:]))
-        start = stop + 4
-        end = start + int(head["content-length"])
-        if data[end : end + 4] != END.encode():
-            raise ValueError(f"the record at byte {at} does not end at its Content-Length")
-        yield head, data[start:end]
-        at = end + 4
+class Records:
+    """Puts the records of archives together from their pieces between record ends, one record at a time."""
+
+    def __init__(self) -> None:
+        self.head: dict[str, str] | None = None
+        self.parts: list[bytes] = []
+        self.size = self.need = 0
+
+    def add(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The records that the piece completes: headers (names in lower case) and content."""
+        end = END.encode()
+        self.parts += [piece, end]
+        self.size += len(piece) + len(end)
+        while True:
+            if self.head is None:
+                data = b"".join(self.parts).lstrip(b"\r\n")
+                at = data.find(end)
+                if data and not data.startswith(b"WARC/"):
+                    raise ValueError(f"no WARC record: {data[:40]!r}")
+                self.parts, self.size = [data], len(data)
+                if at < 0:
+                    return
+                self.head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[:at].decode().split("\r\n")[1:]))
+                self.parts, self.need = [data[at + len(end) :]], int(self.head["content-length"]) + len(end)
+                self.size = len(self.parts[0])
+            if self.size < self.need:
+                return
+            data = b"".join(self.parts)
+            if data[self.need - len(end) : self.need] != end:
+                raise ValueError(f"a record does not end at its Content-Length of {self.head['content-length']}")
+            yield self.head, data[: self.need - len(end)]
+            self.head, self.parts, self.size = None, [data[self.need :]], len(data) - self.need
+
+    def close(self) -> None:
+        if self.head is not None:
+            raise ValueError(f"the last record is cut off before its Content-Length of {self.head['content-length']}")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: page_id, record_id, record_type, payload_bytes, payload_digest, refers_to_id, content_sha1
     (base32, of what the record carries; null for revisits)."""
+    kinds = {"page_id": pa.int64(), "record_id": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to_id": pa.string(), "content_sha1": pa.string()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import hashlib
+    def row(head: dict[str, str], content: bytes) -> tuple:
+        page, revisit = head.get("warc-page-id"), head["warc-type"] == "revisit"
+        carried = None if revisit else base64.b32encode(hashlib.sha1(content).digest()).decode()
+        return (None if page is None else int(page), head["warc-record-id"], head["warc-type"], int(head["warc-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head.get("warc-refers-to"), carried)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = Records()
         for b in batches:
-            for blob in b.column(0):
-                out: dict[str, list] = {k: [] for k in ("page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to_id", "content_sha1")}
-                data = blob.as_buffer()
-                for head, content in records(gzip.decompress(data) if data.size else b""):
-                    page, revisit = head.get("warc-page-id"), head["warc-type"] == "revisit"
-                    out["page_id"].append(None if page is None else int(page))
-                    out["record_id"].append(head["warc-record-id"])
-                    out["record_type"].append(head["warc-type"])
-                    out["payload_bytes"].append(int(head["warc-payload-length"]))
-                    out["payload_digest"].append(head["warc-payload-digest"].removeprefix("sha1:"))
-                    out["refers_to_id"].append(head.get("warc-refers-to"))
-                    out["content_sha1"].append(None if revisit else base64.b32encode(hashlib.sha1(content).digest()).decode())
-                yield pa.record_batch(
-                    [pa.array(v, pa.int64() if k in ("page_id", "payload_bytes") else pa.string()) for k, v in out.items()], names=list(out)
-                )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    schema = "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to_id string, content_sha1 string"
-    return files.select("content").mapInArrow(run, schema)
+            rows = [row(*found) for piece in b.column(0) for found in open_.add(piece.as_buffer().to_pybytes())]
+            if rows:
+                yield batch(rows)
+        open_.close()
+
+    # a compressed file is one stream, so its pieces come in order
+    pieces = spark.read.option("lineSep", END).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").text(path)
+    return pieces.select("value").mapInArrow(run, "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to_id string, content_sha1 string")
 
 
 def resolved_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -134,9 +172,9 @@ def resolved_archives(spark: SparkSession, path: str) -> DataFrame:
     A revisit finds its response by record id; every revisit has one. Repeated responses with one id count once.
     """
     rows = keep(read_archives(spark, path), "records")
-    targets = rows.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
-    found = rows.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
-    rows = rows.join(found.withColumnRenamed("record_id", "id"), F.col("refers_to_id") == F.col("id"), "left")
+    targets = rows.where("refers_to_id is not null").groupBy(F.col("refers_to_id").alias("record_id")).agg(F.count("*").alias("n"))
+    found = rows.where("record_type = 'response'").join(targets, "record_id").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.first("n").alias("n"))
+    rows = looked_up(rows, "refers_to_id", keep(found.withColumnRenamed("record_id", "refers_to_id"), "targets"), "refers_to")
     intact = F.coalesce(F.col("content_sha1") == F.col("payload_digest"), F.col("refers_to").isNotNull())
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", intact.alias("intact"))
 
