@@ -2,14 +2,19 @@
 
 1. encode: documents are cut into words block by block; a block is one row that holds the hashes (64 bits) of its distinct
    words in order, how often each occurs in its training documents, and every token as an index into them.
-2. count: each block's hashes are dealt by value into slices; a slice adds up the counts of its words over all blocks and
-   sends each block the totals it asked for. No task ever holds the whole vocabulary.
+2. count: each block gives a row for each of its words; the rows are added up by word, and joined with the sums again to tell
+   each block its words' totals. A word has at most one row for a block, so no word is hot, and no task holds the vocabulary.
 3. emit: frequent words (CLASSES_MOST at most) are emission classes of their own, other known words share hashed classes in
    which each has its share of the count, and what was not seen in training is one class, whose mass is that of the
    words seen once (Good-Turing). So each state has a distribution over all known words and the unknown one.
-4. train: Baum-Welch, incremental over shards of the documents: expected counts of a shard are added up over partitions,
-   replace its former ones, and the model moves. Every training document takes part.
+4. train: Baum-Welch, incremental over shards of the documents (dealt by a hash of doc_id): expected counts of a shard are added up over
+   partitions, replace its former ones, and the model moves. Every training document takes part. Cycles go on until the
+   likelihood gains less than GAIN, CYCLES at most.
 5. score: the scaled forward recursion gives each text's exact likelihood, many documents at a time.
+
+A document longer than SEGMENT tokens is cut into segments that are worked on side by side: the product of a segment's transition
+and emission matrices carries the forward values over it, and the backward values back, so that the recursion is exact and memory does
+not grow with the document.
 """
 
 from __future__ import annotations
@@ -30,15 +35,17 @@ from pyspark.sql import functions as F
 from driftline.llm.common import keep, own_text, table
 
 FOLDS = 10
-STATES, SHARDS, CYCLES, STAY, SEED = 6, 4, 2, 0.9, 11
+STATES, SHARDS, CYCLES, GAIN, STAY, SEED = 6, 4, 3, 0.005, 0.9, 11
 CLASSES_MOST, SHARED = 61_440, 4_095
 UNKNOWN = CLASSES_MOST + SHARED
 CLASSES = UNKNOWN + 1
 #: Tokens of a block, of documents worked on at once, and words from which a document goes to the blocks of long ones.
 BLOCK_TOKENS, AT_ONCE, LONG = 2_000_000, 300_000, 2_000
-#: Distinct words of all blocks that a slice is meant to hold.
-SLICE_WORDS = 500_000
+#: Tokens of a segment, and words of a block that are sent on at once.
+SEGMENT, SENT = 4_096, 100_000
 END = b""
+#: What stands for a shard where a document is not learned from.
+HELD = 255
 #: Pseudo-count of tokens that pull each state towards the whole corpus's distribution.
 PRIOR = 500.0
 BINS = 8
@@ -62,7 +69,8 @@ class _Block:
         self.of = defaultdict(count().__next__)
         self.ids, self.held, self.tokens, self.size = [], [], [], 0
 
-    def add(self, doc_id: int | None, held: bool, words: list[bytes]) -> None:
+    def add(self, doc_id: int | None, held: int, words: list[bytes]) -> None:
+        """held: the document's shard, or HELD."""
         self.tokens.append(np.fromiter(map(self.of.__getitem__, words), np.int32, len(words)))
         self.ids.append(doc_id)
         self.held.append(held)
@@ -73,8 +81,8 @@ class _Block:
         tokens = np.concatenate([self.tokens[i] for i in order])
         lengths = np.array([len(self.tokens[i]) for i in order], np.int32)
         held = np.array([self.held[i] for i in order], np.uint8)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.of), np.uint64, len(self.of))
-        counts = np.bincount(tokens[np.repeat(held == 0, lengths)], minlength=len(hashes))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.of), np.uint64, len(self.of)).view(np.int64)
+        counts = np.bincount(tokens[np.repeat(held != HELD, lengths)], minlength=len(hashes))
         by_hash = np.argsort(hashes)
         rank = np.empty(len(hashes), np.int32)
         rank[by_hash] = np.arange(len(hashes), dtype=np.int32)
@@ -92,6 +100,7 @@ def encode(docs: DataFrame) -> DataFrame:
             for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = text.as_buffer().to_pybytes().lower().split()
                 words.append(END)
+                held = HELD if held else xxhash.xxh64_intdigest(str(doc_id).encode(), SEED) % SHARDS
                 at = int(len(words) > LONG)
                 open_[at].add(doc_id, held, words)
                 if open_[at].size >= BLOCK_TOKENS:
@@ -105,37 +114,28 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), own_text().alias("text")).mapInArrow(run, schema)
 
 
-def count_words(blocks: DataFrame) -> DataFrame:
-    """kind 'answer': (block, slice, counts) for each block, in order of its hashes; kind 'words': (slice, hashes, counts)
-    of the training documents' words."""
-    slices = max(1, -(-int(blocks.agg(F.sum("distinct")).first()[0] or 0) // SLICE_WORDS))
-    width = (1 << 64) // slices + 1
+def block_words(blocks: DataFrame) -> DataFrame:
+    """block, at, hash, n: a row for each distinct word of each block, with its place there and its training count."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([i * width for i in range(1, slices)], np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                hashes, counts = np.frombuffer(h, np.uint64), unpack(c, np.int64)
-                cuts = np.searchsorted(hashes, edges)
-                parts = [(i, x, y) for i, (x, y) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts), strict=True))]
-                yield pa.record_batch([pa.array([block] * slices), pa.array([p[0] for p in parts]), pa.array([p[1].tobytes() for p in parts]), pa.array([pack(p[2]) for p in parts])], names=["block", "slice", "hashes", "counts"])
+                hashes, counts = np.frombuffer(h, np.int64), unpack(c, np.int64)
+                for i in range(0, len(hashes), SENT):
+                    part = hashes[i : i + SENT]
+                    at = np.arange(i, i + len(part), dtype=np.int32)
+                    yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(at), pa.array(part), pa.array(counts[i : i + SENT])], names=["block", "at", "hash", "n"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
-        words, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack(x, np.int64) for x in rows["counts"].to_pylist()]), minlength=len(words)).astype(np.int64)
-        cuts = np.cumsum([len(x) for x in parts])[:-1]
-        answers = [pack(x) for x in np.split(total[at], cuts)]
-        seen, n = total > 0, len(answers)
-        i = rows["slice"][0].as_py()
-        return pa.table({"kind": ["answer"] * n + ["words"], "block": pa.array([*rows["block"].to_pylist(), None], pa.int64()), "slice": pa.array([i] * (n + 1), pa.int64()), "hashes": pa.array([None] * n + [words[seen].tobytes()], pa.binary()), "counts": pa.array([*answers, pack(total[seen])], pa.binary())})
+    return blocks.select("block", "hashes", "counts").mapInArrow(run, "block long, at int, hash long, n long")
 
-    dealt = blocks.select("block", "hashes", "counts").mapInArrow(deal, "block long, slice long, hashes binary, counts binary")
-    return dealt.groupBy("slice").applyInArrow(add, "kind string, block long, slice long, hashes binary, counts binary")
 
+def count_words(words: DataFrame) -> DataFrame:
+    """hash, n: how often each word of block_words() occurs in the training documents."""
+    return words.groupBy("hash").agg(F.sum("n").alias("n"))
 
-def _bin(counts: np.ndarray) -> np.ndarray:
-    return np.floor(BINS * np.log2(counts) + 1e-9).astype(np.int64)
+
+def _bin(n: str) -> Column:
+    return F.floor(BINS * F.log2(n) + 1e-9)
 
 
 @dataclass
@@ -162,44 +162,18 @@ class Vocabulary:
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    words = counted.where("kind = 'words'").select("hashes", "counts")
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(1).to_pylist():
-                counts = unpack(c, np.int64)
-                own = _bin(counts)
-                at = np.unique(own)
-                yield pa.record_batch([pa.array(at), pa.array([int((own == x).sum()) for x in at], pa.int64()), pa.array([int(counts[own == x].sum()) for x in at], pa.int64())], names=["bin", "types", "tokens"])
-
-    found = words.mapInArrow(bins, "bin long, types long, tokens long").groupBy("bin").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).orderBy(F.desc("bin")).collect()
+    known = counted.where("n > 0").select("hash", "n", _bin("n").alias("bin"))
+    found = known.groupBy("bin").agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).orderBy(F.desc("bin")).collect()
     least, room = 1 << 40, CLASSES_MOST
     for r in found:
         if r.types > room:
             break
         least, room = r.bin, room - r.types
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes, counts = np.frombuffer(h, np.uint64), unpack(c, np.int64)
-                top = _bin(counts) >= least
-                yield pa.record_batch([pa.array(hashes[top].view(np.int64)), pa.array(counts[top])], names=["hash", "n"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SHARED, np.int64)
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes, counts = np.frombuffer(h, np.uint64), unpack(c, np.int64)
-                low = _bin(counts) < least
-                total += np.bincount((hashes[low] % np.uint64(SHARED)).astype(np.int64), weights=counts[low], minlength=SHARED).astype(np.int64)
-        yield pa.record_batch([pa.array(np.arange(SHARED)), pa.array(total)], names=["class", "n"])
-
-    top = words.mapInArrow(frequent, "hash long, n long").collect()  # CLASSES_MOST rows at most
-    hashes, counts = np.array([r.hash for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    top = known.where(F.col("bin") >= least).select("hash", "n").collect()  # CLASSES_MOST rows at most
+    hashes, counts = np.array([r.hash for r in top], np.int64), np.array([r.n for r in top], np.int64)
     order = np.argsort(hashes)
     of_class = np.zeros(SHARED, np.int64)
-    for r in words.mapInArrow(shared, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+    for r in known.where(F.col("bin") < least).groupBy(F.pmod("hash", F.lit(SHARED)).alias("class")).agg(F.sum("n").alias("n")).collect():
         of_class[r["class"]] = r.n
     return Vocabulary(sum(r.tokens for r in found), sum(r.types for r in found), sum(r.types for r in found if r.bin == 0), least, hashes[order], counts[order], of_class)
 
@@ -207,16 +181,15 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
 CODED = "ids array<long>, held binary, lengths binary, codes binary, base array<double>, inner array<double>, known array<long>"
 
 
-def assign(blocks: DataFrame, counted: DataFrame, vocab: Vocabulary) -> DataFrame:
+def assign(blocks: DataFrame, words: DataFrame, counted: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Blocks with their tokens as emission classes, and for each document the base score, the log10 share of its words in
     their classes, and the number of known tokens."""
 
     def code(block: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(block["hashes"][0].as_py(), np.uint64)
-        order = np.argsort(answers["slice"].to_numpy())
-        asked = answers["counts"].to_pylist()
-        c = np.concatenate([unpack(asked[i], np.int64) for i in order])
-        low = (hashes % np.uint64(SHARED)).astype(np.int64)
+        hashes = np.frombuffer(block["hashes"][0].as_py(), np.int64)
+        c = np.zeros(len(hashes), np.int64)
+        c[answers["at"].to_numpy()] = answers["total"].to_numpy()
+        low = np.mod(hashes, SHARED)
         at = np.minimum(np.searchsorted(vocab.frequent, hashes), max(len(vocab.frequent) - 1, 0))
         top = (vocab.frequent[at] == hashes) if len(vocab.frequent) else np.zeros(len(hashes), bool)
         classes = np.where(top, at, np.where(c > 0, CLASSES_MOST + low, UNKNOWN)).astype(np.uint16)
@@ -230,7 +203,7 @@ def assign(blocks: DataFrame, counted: DataFrame, vocab: Vocabulary) -> DataFram
         return pa.table(out)
 
     left = blocks.select("block", "ids", "held", "lengths", "tokens", "hashes").groupBy("block")
-    right = counted.where("kind = 'answer'").select("block", "slice", "counts").groupBy("block")
+    right = words.select("block", "at", "hash").join(counted.withColumnRenamed("n", "total"), "hash").select("block", "at", "total").groupBy("block")
     return left.cogroup(right).applyInArrow(code, CODED)
 
 
@@ -264,42 +237,125 @@ def portions(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def forward(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """Natural log likelihood of each document; documents stand longest first. trace gets (scaled forward values,
-    emissions, scales, classes) of each step."""
-    total = np.zeros(len(lengths))
-    alpha = np.broadcast_to(model.start, (len(lengths), len(model.start)))
-    ends = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")  # documents longer than t
-    for t, n in enumerate(ends.tolist()):
+def _active(lengths: np.ndarray) -> list[int]:
+    """How many sequences (longest first) are longer than 0, 1, 2, ... tokens."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+
+
+def _run(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, enter: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihood, scaled forward values at the end) of sequences, longest first, whose states at their first token
+    have the distribution `enter`. trace gets (scaled forward values, emissions, scales, classes) of each step."""
+    total, last, alpha = np.zeros(len(lengths)), np.empty((len(lengths), len(model.start))), enter
+    for t, n in enumerate(_active(lengths)):
         seen = codes[starts[:n] + t]
         b = model.emit[seen]
         alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * b
         scale = alpha.sum(axis=1)
         alpha = alpha / scale[:, None]
+        last[:n] = alpha
         total[:n] += np.log(scale)
         if trace is not None:
             trace.append((alpha, b, scale, seen))
-    return total
+    return total, last
+
+
+def _carry(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequences x states x states, log scales): what takes the forward values before a sequence to those at its end."""
+    states = len(model.start)
+    out, scales = np.tile(np.eye(states), (len(lengths), 1, 1)), np.zeros(len(lengths))
+    for t, n in enumerate(_active(lengths)):
+        m = (out[:n] @ model.move) * model.emit[codes[starts[:n] + t]][:, None, :]
+        size = m.sum(axis=(1, 2))
+        out[:n] = m / size[:, None, None]
+        scales[:n] += np.log(size)
+    return out, scales
+
+
+@dataclass
+class Segments:
+    """The segments of some documents, longest first. before: forward values at the end of the segment before (of the first
+    one: none); after: backward values at a segment's end, such that forward times backward values add up to 1."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    total: np.ndarray
+
+    def enter(self, model: Model, chosen: slice) -> np.ndarray:
+        return np.where(self.first[chosen, None], model.start, self.before[chosen] @ model.move)
+
+
+def segments(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Segments:
+    """total: the documents' log likelihoods, if any of them has more than one segment."""
+    states, counts = len(model.start), -(-lengths // SEGMENT)
+    doc = np.repeat(np.arange(len(lengths)), counts)
+    offset = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
+    size = np.minimum(SEGMENT, lengths[doc] - offset)
+    order = np.argsort(-size, kind="stable")
+    before, after, total = np.zeros((len(doc), states)), np.ones((len(doc), states)), np.zeros(len(lengths))
+    if len(doc) > len(lengths):
+        where = np.empty(len(doc), np.int64)
+        where[order] = np.arange(len(doc))
+        own, size_ = starts[doc[order]] + offset[order], size[order]
+        carried, scales = (np.concatenate(x) for x in zip(*[_carry(model, codes, own[i:j], size_[i:j]) for i, j in portions(size_)], strict=True))
+        ends = np.cumsum(counts)
+        for d in np.flatnonzero(counts > 1).tolist():
+            at = range(int(ends[d] - counts[d]), int(ends[d]))
+            logs, alphas = _run(model, codes, starts[d : d + 1], size[at[0] : at[0] + 1], model.start[None, :])
+            alpha, total[d] = alphas[0], logs[0]
+            forwards = [alpha]
+            for i in at[1:]:
+                before[i] = alpha
+                alpha = alpha @ carried[where[i]]
+                total[d] += np.log(alpha.sum()) + scales[where[i]]
+                alpha = alpha / alpha.sum()
+                forwards.append(alpha)
+            beta = np.ones(states)
+            for i in reversed(at[1:]):
+                beta = carried[where[i]] @ beta
+                beta = beta / (forwards[i - 1 - at[0]] @ beta)
+                after[i - 1] = beta
+    return Segments(starts[doc[order]] + offset[order], size[order], offset[order] == 0, before[order], after[order], total)
+
+
+def forward(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each document; documents stand longest first."""
+    long = int(np.searchsorted(-lengths, -SEGMENT, side="left"))
+    out = np.empty(len(lengths))
+    if long:
+        out[:long] = segments(model, codes, starts[:long], lengths[:long]).total
+    if long < len(lengths):
+        out[long:] = _run(model, codes, starts[long:], lengths[long:], np.broadcast_to(model.start, (len(lengths) - long, len(model.start))))[0]
+    return out
 
 
 def expect(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Adds the expected counts of starts, moves and emissions to `into`; returns the log likelihood."""
+    cut = segments(model, codes, starts, lengths)
+    return sum(_expect(model, codes, cut, slice(i, j), into) for i, j in portions(cut.lengths))
+
+
+def _expect(model: Model, codes: np.ndarray, cut: Segments, chosen: slice, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     trace: list = []
-    total = forward(model, codes, starts, lengths, trace)
-    states = len(model.start)
+    total, _ = _run(model, codes, cut.starts[chosen], cut.lengths[chosen], cut.enter(model, chosen), trace)
+    states, first, before, after = len(model.start), cut.first[chosen], cut.before[chosen], cut.after[chosen]
     gammas: list = [None] * len(trace)
-    beta = np.ones((len(trace[-1][0]), states))
+    beta = np.empty((0, states))
     moves = np.zeros((states, states))
     for t in range(len(trace) - 1, -1, -1):
         alpha, b, scale, _ = trace[t]
-        if len(alpha) > len(beta):
-            beta = np.concatenate((beta, np.ones((len(alpha) - len(beta), states))))
+        if len(alpha) > len(beta):  # the sequences that end here
+            beta = np.concatenate((beta, after[len(beta) : len(alpha)]))
         gammas[t] = alpha * beta
+        weighed = b * beta / scale[:, None]
         if t:
-            weighed = b * beta / scale[:, None]
             moves += trace[t - 1][0][: len(alpha)].T @ weighed
             beta = weighed @ model.move.T
-    into[0][:] += gammas[0].sum(axis=0)
+        else:
+            moves += before[~first].T @ weighed[~first]
+    into[0][:] += gammas[0][first].sum(axis=0)
     into[1][:] += model.move * moves
     gamma, seen = np.concatenate(gammas), np.concatenate([x[3] for x in trace])
     for k in range(states):
@@ -320,7 +376,8 @@ def expected_counts(coded: DataFrame, model: Model, shard: int, shards: int = SH
             for held, lens, coded_ in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 lengths, codes = unpack(lens, np.int32).astype(np.int64), unpack(coded_, np.uint16)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                chosen = np.flatnonzero((unpack(held, np.uint8) == 0) & (np.arange(len(lengths)) % shards == shard))
+                own = unpack(held, np.uint8)
+                chosen = np.flatnonzero((own != HELD) & (own % shards == shard))
                 for i, j in portions(lengths[chosen]):
                     total += expect(model, codes, starts[chosen[i:j]], lengths[chosen[i:j]], into)
         rest = np.concatenate((into[0], into[1].ravel(), [total]))
@@ -338,8 +395,9 @@ def expected_counts(coded: DataFrame, model: Model, shard: int, shards: int = SH
     return rest[:states], rest[states:-1].reshape(states, states), np.concatenate([got[i] for i in range(parts)]).reshape(CLASSES, states), float(rest[-1])
 
 
-def train(coded: DataFrame, mass: np.ndarray, states: int = STATES, shards: int = SHARDS, cycles: int = CYCLES) -> Model:
-    model, kept = first_model(mass, states), {}
+def train(coded: DataFrame, mass: np.ndarray, states: int = STATES, shards: int = SHARDS, cycles: int = CYCLES, gain: float = GAIN) -> Model:
+    """Until a cycle over all shards gains less than `gain` of the log likelihood, or for so many cycles."""
+    model, kept, before = first_model(mass, states), {}, None
     for step in range(shards * cycles):
         kept[step % shards] = expected_counts(coded, model, step % shards, shards)
         start, move, emit = (sum(x[i] for x in kept.values()) for i in range(3))
@@ -350,6 +408,11 @@ def train(coded: DataFrame, mass: np.ndarray, states: int = STATES, shards: int
         emit = emit / np.maximum(emit.sum(axis=0), 1e-300) * (1 - mass[UNKNOWN])
         emit[UNKNOWN] = mass[UNKNOWN]
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
+        if step % shards == shards - 1:
+            total = sum(x[3] for x in kept.values())  # each shard's before its step
+            if before is not None and total - before <= gain * abs(before):
+                break
+            before = total
     return model
 
 
@@ -362,7 +425,7 @@ def score(coded: DataFrame, model: Model, vocab: Vocabulary) -> DataFrame:
                 lengths, codes = unpack(lens, np.int32).astype(np.int64), unpack(packed, np.uint16)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 logs = np.concatenate([forward(model, codes, starts[i:j], lengths[i:j]) for i, j in portions(lengths)])
-                cols = (ids, unpack(held, np.uint8) == 1, lengths, known, [vocab.tokens] * len(ids), base, np.array(inner) + logs / np.log(10))
+                cols = (ids, unpack(held, np.uint8) == HELD, lengths, known, [vocab.tokens] * len(ids), base, np.array(inner) + logs / np.log(10))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, names.values(), strict=True)], names=list(names))
 
     return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -375,9 +438,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     every token is unknown and has probability 1. Other columns are left out. An empty table gives none.
     """
     blocks = keep(encode(docs), "blocks", codec="uncompressed")
-    counted = keep(count_words(blocks), "counted", by=None, codec="uncompressed")
+    words = block_words(blocks)
+    counted = keep(count_words(words), "counted")
     vocab = vocabulary(counted)
-    coded = keep(assign(blocks, counted, vocab), "coded", codec="uncompressed")
+    coded = keep(assign(blocks, words, counted, vocab), "coded", codec="uncompressed")
     return score(coded, train(coded, vocab.mass()), vocab)
 
 
