@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import keep, table
+from driftline.llm.common import keep, let, scan, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -68,30 +68,7 @@ VOTES = ("check", "gazetteer", "context", "border", "shape")
 #: Features of the classifier with the number of their values.
 FEATURES = {"form": 2, "check": 3, "first": 4, "left": 4, "right": 4, "length": 6, "variety": 3}
 FEATURE_PATTERNS = math.prod(FEATURES.values())
-BLOCK_BITS, CHUNK = 10, 128
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def scan(values: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Running results of an associative step over array<int>: within chunks, then over the chunks, so that no long array is
-    copied for each element."""
-    none = F.array().cast("array<int>")
-    along = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(step(F.try_element_at(acc, F.lit(-1)), x), x))))
-
-    def joined(parts: Column) -> Column:
-        carried = along(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
-        earlier = F.concat(F.array(F.lit(None).cast("int")), F.slice(carried, F.lit(1), F.greatest(F.size(carried) - 1, F.lit(0))))
-        return F.flatten(F.zip_with(parts, earlier, lambda p, c: F.transform(p, lambda x: F.coalesce(step(c, x), x))))
-
-    def chunked(xs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK))
-        return let(F.transform(starts, lambda i: along(F.slice(xs, i, CHUNK))), joined)
-
-    return let(values, chunked)
+BLOCK_BITS = 10
 
 
 def blocks_of(text: Column) -> Column:

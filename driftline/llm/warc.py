@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import keep, new_path, table
+from driftline.llm.common import keep, looked_up, new_path, table
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
@@ -29,8 +29,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records that a file holds at most.
 FILE_RECORDS = 4_000
-#: A key is hot that has more than this part of all rows, and at least so many of them.
-HOT_PART, HOT_ROWS = 10_000, 100_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -59,19 +57,6 @@ def resolve(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
 
 
-def looked_up(rows: DataFrame, key: str, found: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """rows with `value` of `found` (key, value, n: how many rows have the key), null where there is none. Hot keys are
-    looked up in a broadcast of fewer than HOT_PART rows, so that no task gets all rows of one key."""
-    total = found.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(hot_rows, total // HOT_PART)
-    often = found.where(hot).select(F.col(key).alias("__often"), F.col(value).alias("__value"))
-    first = rows.join(F.broadcast(often), F.col(key) == F.col("__often"), "left")
-    rest = found.where(~hot).select(F.col(key).alias("__key"), value)
-    # a key that is looked up already takes part in the second join as null
-    out = first.withColumn("__rest", F.when(F.col("__often").isNull(), F.col(key))).join(rest, F.col("__rest") == F.col("__key"), "left")
-    return out.withColumn(value, F.coalesce("__value", value)).drop("__often", "__value", "__rest", "__key")
-
-
 def record(df: DataFrame) -> DataFrame:
     """The text of one WARC record for each row of resolve(), without its end. Record ids are URNs of page and digest."""
 

@@ -45,8 +45,10 @@ def test_merkle_next_and_edits(spark, odd, none):
             h = len(t) // 2
             assert got[i, t].next_text == after and got[i, t].edited == t[: len(t) - h] + after[:h]
     node = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    root = node("".join(node("".join(node(p) for p in s.split("\n"))) for s in ODD[-1][1].split("\n\n")))
-    assert got[10, ODD[-1][1]].own.root == root
+    leaves = lambda p: [node(x)[:32] for x in re.sub(merkle.CUT, "\\1\n", p).split("\n") if x]
+    root = lambda t: node("".join(node("".join(node("".join(leaves(p))) for p in s.split("\n"))) for s in t.split("\n\n")))
+    for i, t, _ in ODD:
+        assert got[i, t or ""].own.root == root(t or "") and sorted(got[i, t or ""].own.leaves) == sorted({x for p in (t or "").split("\n") for x in leaves(p)})
     assert got[1, ODD[0][1]].own.root == got[2, ODD[1][1]].own.root
     assert merkle.fingerprint_documents(none).count() == 0
     one = merkle.fingerprint_documents(odd.where("doc_id = 10")).first()

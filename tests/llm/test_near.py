@@ -13,4 +13,4 @@ def test_a_word_inserted_at_the_start(spark):
     assert got[4].near_edited == 2 * 198 / (398 + 198)  # 201 of 401 characters kept, nothing after them
     assert [got[i].near_next for i in (5, 6, 7)] == [0.0, 0.0, 1.0]
     old = {r.doc_id: r.v for r in merkle.fingerprint_documents(df).select("doc_id", merkle.likeness("own", "following").alias("v")).collect()}
-    assert old[1] == 0.0  # what op1_merkle's fixed pieces give
+    assert old[1] > 0.9  # leaves are cut by their content, so those after the inserted word stay as they are
