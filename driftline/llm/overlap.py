@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import keep, own_text, partitions
-from driftline.llm.simhash import components
+from driftline.llm.common import keep, looked_up, own_text, partitions
+from driftline.llm.simhash import components, labelled
 
 SEED, SHINGLE, BANDS, ROWS = 42, 5, 30, 5
 #: The least similarity that links, as a fraction of whole numbers.
@@ -146,8 +146,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     other. Repeated rows stay repeated.
     """
     own = keep(keyed(docs), "keyed")
-    classes = keep(own.groupBy("set_id").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(docs, own))
-    of = classes.join(roots, classes.set_id == roots.node, "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
-    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(of.join(first, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    classes = keep(own.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    of = labelled(classes, components(links(docs, own)), "set_id")
+    return looked_up(own.select("doc_id", "set_id"), "set_id", of, "component_id").select("doc_id", "component_id")

@@ -10,6 +10,10 @@ pieces at least, so every choice of k pieces is a bucket key. k follows the numb
 bucket holds some thousands of unrelated ones at most; every k is exact. A bucket with more than `block`
 fingerprints (near copies of one text) is dealt into chunks, and each pair of chunks is a block of its own, so that no
 task holds a whole bucket. Only a spanning star of each block's links leaves it.
+
+Pairs of chunks grow with the square of a bucket. Where they would be more than FLOOD for each fingerprint, the fingerprints of the
+bucket are sent to all values within half the radius instead (some 1,400 at radius 4, whatever the bucket's size): two
+fingerprints are within the radius if and only if they share such a value, so those that meet are linked without a comparison.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import keep, own_text, partitions, table
+from driftline.llm.common import HOT_ROWS, keep, looked_up, own_text, partitions, table
 
 SEED, SHINGLE, RADIUS, BLOCK = 42, 4, 4, 2048
 #: Unrelated fingerprints that a bucket may hold on average before its key takes one piece more.
 BUCKET = 4096
+#: Chunks of a bucket from which its fingerprints are sent to their neighbours instead of into pairs of chunks.
+FLOOD = 1024
 #: Shingles whose bits are counted at once: 64 bytes each.
 AT_ONCE = 1 << 15
 
@@ -135,21 +141,55 @@ def _pieces(n: int, radius: int) -> list[list[tuple[int, int]]]:
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(radius + k), k)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, flood: int = FLOOD) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that join the same ones as all pairs within radius."""
     spark = distinct.sparkSession
-    keys = []
+    keys, fixed = [], []
     for i, key in enumerate(_pieces(distinct.count(), radius)):
         value, at = F.lit(0).cast("long"), 0
         for shift, bits in key:
             value, at = value + F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1), at), at + bits
         keys.append(value + F.lit(i << 56).cast("long"))
+        fixed.append({b for shift, bits in key for b in range(shift, shift + bits)})
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("chunks"))
+    hot = keep(hot, "hot")  # distinct.count() * len(keys) / block rows at most
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = rows.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
-    dealt = dealt.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    even = dealt.where(F.col("chunks") <= flood).select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    even = even.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    found = compared(even, radius)
+    if hot.where(F.col("chunks") > flood).limit(1).count():
+        found = found.union(shared_neighbours(dealt.where(F.col("chunks") > flood).select("fp", "key"), radius, fixed)).distinct()
+    return found
+
+
+def shared_neighbours(rows: DataFrame, radius: int, fixed: list[set[int]]) -> DataFrame:
+    """(a, b): stars of the fingerprints (fp) of a bucket (key) that share a value within half the radius. radius is even;
+    fixed[i]: the bits on which the fingerprints of a bucket of the i-th kind agree. At most sum of C(64, radius / 2) share one value."""
+    if radius % 2:
+        raise ValueError("half a radius is a whole number of bits")
+    masks = []
+    for bits in fixed:
+        free = [1 << b for b in range(64) if b not in bits]
+        masks.append(np.array([sum(c) for k in range(radius // 2 + 1) for c in combinations(free, k)], np.uint64))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, kinds = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy() >> 56
+            for kind in np.unique(kinds).tolist():
+                own = fps[kinds == kind]
+                for i in range(0, len(own), 256):
+                    part = own[i : i + 256]
+                    values = (part[:, None] ^ masks[kind][None, :]).ravel()
+                    yield pa.record_batch([pa.array(np.repeat(part, len(masks[kind])).view(np.int64)), pa.array(np.full(len(values), kind)), pa.array(values.view(np.int64))], names=["fp", "kind", "value"])
+
+    near = rows.mapInArrow(spread, "fp long, kind long, value long").groupBy("kind", "value").agg(F.array_sort(F.collect_set("fp")).alias("met")).where(F.size("met") > 1)
+    return near.select(F.col("met")[0].alias("a"), F.explode(F.slice("met", 2, F.size("met") - 1)).alias("b"))
+
+
+def compared(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a spanning star of the links within each block (column block) of fingerprints (column fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(fps: np.ndarray) -> pa.RecordBatch:
@@ -171,25 +211,32 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
         if sum(map(len, waiting)) > 1:
             yield solve(np.concatenate(waiting))
 
-    return dealt.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(partitions(dealt.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of each node with a link: root is the smallest node of its component. Alternates large and small
-    stars until nothing changes; each round is written to the shared folder."""
+    stars until every node hangs on its root; each round is written to the shared folder, and hubs are looked up by broadcast."""
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
+
+    def lowest(rows: DataFrame, least: Column) -> DataFrame:
+        return rows.groupBy("u").agg(least.alias("low"), F.count("*").alias("n"))
+
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before or not seen[0]:
+        size, nodes = now.agg(F.count("*"), F.countDistinct("u")).first()
+        if size == nodes and not now.join(now.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = seen
+        settle = (lambda df: keep(df, name)) if size > HOT_ROWS else (lambda df: df)  # read twice where a hub may be hot
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u")
-        now = keep(small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low).where("u <> v").distinct(), name)
+        low = settle(lowest(both, F.least("u", F.min("v"))))
+        large = settle(joined_low(both, low, size).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        low = settle(lowest(large, F.min("v")))
+        small = joined_low(large, low, size)
+        now = keep(small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct(), name)
+
+
+def joined_low(rows: DataFrame, low: DataFrame, size: int) -> DataFrame:
+    return looked_up(rows, "u", low, "low") if size > HOT_ROWS else rows.join(low.drop("n"), "u")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -200,12 +247,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     doc_id stays null and never becomes a component_id unless its component has no other. An empty table gives none.
     """
     own = keep(fingerprints(docs, shingle), "fingerprints")
-    classes = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), radius))
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = joined.join(first, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    of = labelled(classes, components(links(classes.select("fp"), radius)), "fp")
+    return looked_up(own, "fp", of, "component_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labelled(classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key, n, component_id of each class (key, first, n): the smallest `first` of the classes with its root."""
+    joined = classes.join(roots, classes[key] == roots.node, "left").select(key, "first", "n", F.coalesce("root", key).alias("root"))
+    joined = keep(joined, "rooted")
+    first = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return keep(looked_up(joined.withColumnRenamed("n", "rows"), "root", first, "component_id").select(key, F.col("rows").alias("n"), "component_id"), "labelled")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
