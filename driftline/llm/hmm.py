@@ -41,8 +41,8 @@ UNKNOWN = CLASSES_MOST + SHARED
 CLASSES = UNKNOWN + 1
 #: Tokens of a block, of documents worked on at once, and words from which a document goes to the blocks of long ones.
 BLOCK_TOKENS, AT_ONCE, LONG = 2_000_000, 300_000, 2_000
-#: Tokens of a segment, and words of a block that are sent on at once.
-SEGMENT, SENT = 4_096, 100_000
+#: Tokens of a segment (what is kept of one for the way back takes some 60 MB), and words of a block that are sent on at once.
+SEGMENT, SENT = 65_536, 100_000
 END = b""
 #: What stands for a shard where a document is not learned from.
 HELD = 255
@@ -264,7 +264,7 @@ def _carry(model: Model, codes: np.ndarray, starts: np.ndarray, lengths: np.ndar
     states = len(model.start)
     out, scales = np.tile(np.eye(states), (len(lengths), 1, 1)), np.zeros(len(lengths))
     for t, n in enumerate(_active(lengths)):
-        m = (out[:n] @ model.move) * model.emit[codes[starts[:n] + t]][:, None, :]
+        m = (out[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * model.emit[codes[starts[:n] + t]][:, None, :]
         size = m.sum(axis=(1, 2))
         out[:n] = m / size[:, None, None]
         scales[:n] += np.log(size)
