@@ -23,6 +23,40 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: An ISO date and time with seconds and, if it is aware, Z or an offset.
+ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2}):(\d{2})(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def floor_local(text: Column, minutes: int) -> Column:
+    """An ISO text at the start of its bucket of so many minutes of an hour, by its own clock and with its own offset; null if
+    it is none."""
+    at = F.regexp_extract(text, ISO, 3).try_cast("int")
+    floored = F.concat(F.regexp_extract(text, ISO, 1), F.lit("T"), F.regexp_extract(text, ISO, 2), F.lit(":"), F.lpad((at - at % minutes).cast("string"), 2, "0"), F.lit(":00"), F.regexp_extract(text, ISO, 6))
+    return F.when(text.rlike(ISO), floored)
+
+
+def aware(text: Column) -> Column:
+    """The instant of an ISO text that says its offset; null for naive, malformed and impossible ones."""
+    return F.when(text.rlike(ISO) & (F.regexp_extract(text, ISO, 6) != ""), F.try_to_timestamp(text))
+
+
+def clock_seconds(text: Column) -> Column:
+    """Seconds of MM:SS.f, null for others."""
+    return F.when(text.rlike(r"^\d+:[0-5]?\d(\.\d+)?$"), F.split(text, ":")[0].try_cast("double") * 60 + F.get(F.split(text, ":"), F.lit(1)).try_cast("double"))
+
+
+def american(text: Column) -> Column:
+    """m/d/Y H:M as a timestamp, null for others."""
+    return F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"), F.try_to_timestamp(text, F.lit("M/d/yyyy H:mm")))
+
+
+def uuid5(name: Column, namespace: str) -> Column:
+    """The name-based UUID (version 5) of a text within a namespace UUID."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.lower(F.hex(F.conv(h.substr(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), F.concat(F.lit("5"), h.substr(14, 3)), F.concat(variant, h.substr(18, 3)), h.substr(21, 12))
+
+
 def truthy(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes"), F.lit(False))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions import geo
 from driftline.operators import asof as A
 from driftline.operators import checks, ranking, reconcile, spatial
 from driftline.plans.analysis_queries import PLACES, points
@@ -52,11 +53,21 @@ def j11_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.report(*[checks.foreign(name, t(a), ka, t(b), kb) for name, a, ka, b, kb in links]).drop("status")
 
 
-@query("j14_nearest_one", PLACES + "SELECT point_id, place_id, round(m, 3) AS distance_m FROM d WHERE m <= 5000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) = 1")
+@query("j14_nearest_one", PLACES + "SELECT point_id, place_id, round(m, 3) AS distance_m FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) = 1")
 def j14_nearest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = points(spark, sf_dir)
-    near = spatial.within(a, b, 5000.0, 5)
-    return near.groupBy("point_id").agg(F.min_by("place_id", F.struct("distance_m", "place_id")).alias("place_id"), F.round(F.min("distance_m"), 3).alias("distance_m"))
+    return spatial.nearest(a, b, 1, 500.0).select("point_id", "place_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("j13_tie_sets", PLACES + """,
+t AS (SELECT *, abs(fmod(point_id * 53, 360) - fmod(place_id * 37, 360)) AS g FROM d WHERE m <= 3000), n AS (SELECT *, least(g, 360 - g) AS turn, row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) AS k, min(m) OVER (PARTITION BY point_id) AS least FROM t),
+u AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY turn, place_id) AS r, count(*) OVER (PARTITION BY point_id) AS ties, lead(turn) OVER (PARTITION BY point_id ORDER BY turn, place_id) AS other FROM n WHERE k <= 8 AND m <= least + 2)
+SELECT point_id, place_id, round(m, 3) AS distance_m, ties, coalesce(other = turn, false) AS ambiguous FROM u WHERE r = 1""")
+def j13_tie_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the eight nearest within 3 km, those within 2 m of the nearest are tied; the direction decides, or nothing does."""
+    a, b = points(spark, sf_dir)
+    turn = geo.heading_difference(F.pmod(F.col("point_id") * 53, F.lit(360)), F.pmod(F.col("place_id") * 37, F.lit(360)))
+    return spatial.tie_set(spatial.within(a, b, 3000.0, 6, 8), 2.0, turn).withColumn("distance_m", F.round("distance_m", 3))
 
 
 @query("j15_nearest_five", PLACES + "SELECT point_id, count(*) AS n, round(max(m), 3) AS farthest FROM (SELECT * FROM d WHERE m <= 3000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) <= 5) GROUP BY point_id")
@@ -76,14 +87,14 @@ def j19_reference_vs_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j20_shared_cells", """
-WITH a AS (SELECT DISTINCT l_orderkey AS trip, l_suppkey AS cell FROM lineitem WHERE l_orderkey % 100 = 0), h AS (SELECT DISTINCT l_orderkey AS past, l_suppkey AS cell FROM lineitem WHERE l_orderkey % 100 = 1),
+WITH a AS (SELECT DISTINCT l_orderkey AS trip, l_suppkey AS cell FROM lineitem WHERE l_orderkey % 100 = 0), h AS (SELECT DISTINCT l_orderkey AS past, l_suppkey AS cell FROM lineitem),
 s AS (SELECT trip, count(*) AS n FROM a GROUP BY trip), p AS (SELECT past, count(*) AS n FROM h GROUP BY past)
-SELECT trip, past, count(*) AS shared, s.n + p.n - count(*) AS total FROM a JOIN h USING (cell) JOIN s USING (trip) JOIN p USING (past) GROUP BY trip, past, s.n, p.n""")
+SELECT trip, past, count(*) AS shared, s.n + p.n - count(*) AS total FROM a JOIN h USING (cell) JOIN s USING (trip) JOIN p USING (past) WHERE trip <> past GROUP BY trip, past, s.n, p.n""")
 def j20_shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips against past trips, only where they share a cell. The remainder is the feature: which trips are asked about."""
-    cells = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("r"), "l_orderkey", F.col("l_suppkey").alias("cell")).distinct()
-    sized = lambda r, name: cells.where(F.col("r") == r).groupBy(F.col("l_orderkey").alias(name)).agg(F.count("*").alias(f"n_{name}"), F.collect_list("cell").alias("cells")).select(name, f"n_{name}", F.explode("cells").alias("cell"))
-    pairs = sized(0, "trip").join(sized(1, "past"), "cell").groupBy("trip", "past", "n_trip", "n_past").agg(F.count("*").alias("shared"))
+    """The trips that are asked about (id divisible by 100) against all other trips with which they share a cell."""
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("cell")).distinct()
+    sized = lambda rows, name: rows.groupBy(F.col("l_orderkey").alias(name)).agg(F.count("*").alias(f"n_{name}"), F.collect_list("cell").alias("cells")).select(name, f"n_{name}", F.explode("cells").alias("cell"))
+    pairs = sized(cells.where("l_orderkey % 100 = 0"), "trip").join(sized(cells, "past"), "cell").where("trip <> past").groupBy("trip", "past", "n_trip", "n_past").agg(F.count("*").alias("shared"))
     return pairs.select("trip", "past", "shared", (F.col("n_trip") + F.col("n_past") - F.col("shared")).alias("total"))
 
 

@@ -194,6 +194,34 @@ def p26_plan_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count_if(ok).alias("same"), F.count("*").alias("n"))
 
 
+@query("d1_floor_offset", """
+WITH x AS (SELECT event_id, ts, ['+07:00', 'Z', '-03:30', ''][event_id % 4 + 1] AS z FROM events)
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE strftime(date_trunc('hour', ts) + to_minutes(minute(ts) // 10 * 10), '%Y-%m-%dT%H:%M:%S') || z END AS at FROM x""")
+def d1_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-minute buckets by each text's own clock, its offset kept; every ninth text is malformed."""
+    zone = F.get(F.array(*map(F.lit, ("+07:00", "Z", "-03:30", ""))), (F.col("event_id") % 4).cast("int"))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone, F.when(F.col("event_id") % 9 == 0, "?").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", expr.floor_local(text, 10).alias("at"))
+
+
+@query("d2_aware_instants", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch(date_trunc('second', ts)) - 25200 WHEN 1 THEN epoch(date_trunc('second', ts)) WHEN 2 THEN epoch(date_trunc('second', ts)) + 12600 END::DOUBLE AS at FROM events""")
+def d2_aware_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of texts that say their offset; a quarter of the texts is naive and has none."""
+    zone = F.get(F.array(*map(F.lit, ("+07:00", "Z", "-03:30", ""))), (F.col("event_id") % 4).cast("int"))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return table(spark, sf_dir, "events").select("event_id", expr.epoch(expr.aware(text)).alias("at"))
+
+
+@query("d3_clock_formats", """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(event_id % 90 * 60 + event_id % 60 + (event_id % 10) / 10.0, 1)::DOUBLE END AS seconds, epoch(date_trunc('minute', ts))::DOUBLE AS at FROM events""")
+def d3_clock_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MM:SS.f and m/d/Y H:M texts; every seventh of the former has no colon."""
+    k = F.col("event_id")
+    clock = F.concat((k % 90).cast("string"), F.when(k % 7 == 0, ".").otherwise(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("."), (k % 10).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(expr.clock_seconds(clock), 1).alias("seconds"), expr.epoch(expr.american(F.date_format("ts", "M/d/yyyy H:mm"))).alias("at"))
+
+
 @query("f2_truthy", "SELECT count(*) FILTER (WHERE upper(trim(x)) IN ('TRUE', '1', 'YES')) AS yes, count(*) AS n FROM (SELECT [' True', '1', 'no', NULL, 'YES ', '0', ''][1 + event_id % 7] AS x FROM events)")
 def f2_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*[F.lit(x) for x in (" True", "1", "no", None, "YES ", "0", "")])

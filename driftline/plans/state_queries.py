@@ -113,6 +113,16 @@ def k2_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.sha2(body, 256).alias("id"))
 
 
+@query("k2_uuid5", """
+WITH x AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{"value":' || (CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round(value) END)::VARCHAR || ',"user_id":' || user_id::VARCHAR || '}')) AS h FROM events)
+SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::BIGINT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM x""")
+def k2_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content ids as version 5 UUIDs of canonical JSON, in which minus zero is zero."""
+    value = F.when(F.col("event_id") % 5 == 0, F.lit(-0.0)).otherwise(F.round("value")) + F.lit(0.0)
+    body = F.to_json(F.struct(value.alias("value"), "user_id"))
+    return table(spark, sf_dir, "events").select("event_id", expr.uuid5(body, "6ba7b811-9dad-11d1-80b4-00c04fd430c8").alias("id"))
+
+
 @query("k6_latest_cache", "SELECT user_id, epoch(max(ts))::DOUBLE AS at, arg_max(value, (ts, value)) AS value FROM events GROUP BY user_id")
 def k6_latest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.streaming.trace import latest_state
