@@ -1,12 +1,15 @@
 """A corpus pipeline over documents: quality, near duplicates, personal data, mixing, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it again as the next
-one's docs. All but the last return the columns of documents. A doc_id names a document: of rows that repeat one after the
-second stage one is left; rows without a doc_id pass that stage. Null texts count as empty throughout.
+one's docs. All but the last return the columns of documents. Rows are told apart by doc_id and text: rows that share a doc_id
+but not their text are documents of their own, and those without a doc_id are treated like any other. Null texts count as empty
+throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +24,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As drop_near_copies, by op3_simhash's contract (four words, four bits); the pipeline does not use it."""
-    return _first_of(docs, simhash.near_duplicates(docs))
+    return _one_of_each(docs, simhash.near_duplicates)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of the five-word shingles or more) the document with the smallest doc_id stays."""
-    return _first_of(docs, overlap.near_copies(docs))
-
-
-def _first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.union(docs.where("doc_id is null"))
+    """Of each group of near copies (0.8 of the five-word shingles or more) the document with the smallest doc_id stays, or, if
+    none has a doc_id or two share it, that with the smallest hash."""
+    return _one_of_each(docs, overlap.near_copies)
+
+
+def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grouped gives doc_id and component_id of each row; it is asked about rows by a key of their id and text."""
+    rows = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), own_text()))
+    found = grouped(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    ids = rows.groupBy("__key").agg(F.min("doc_id").alias("doc_id"))
+    first = found.join(ids, "__key").groupBy("component_id").agg(F.min(order).alias("f")).select("f.__key")
+    return rows.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
