@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import json
 import math
 import re
 import struct
@@ -330,8 +329,4 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     assert collections.Counter(r.doc_id for r in cp.mix_sources(spark, docs, SMALL).collect()) == collections.Counter({i: c for i, c in copies.items() if c})
     out = cp.run(spark, SMALL).collect()
-    assert {r.doc_id for r in out} <= kept and json.dumps(sorted({r.n_pieces for r in out}))
-    odd = spark.createDataFrame([(i, t, "l", s, None) for i, t, s in ODD], docs.schema)
-    for name, stage in cp.STAGES:
-        assert stage(spark, odd.limit(0), SMALL).count() == 0, name
-        assert stage(spark, odd, SMALL).count() >= 0, name
+    assert {r.doc_id for r in out} <= kept and all(r.n_pieces == len(r.ids) for r in out)
