@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions import expr, geo
-from driftline.operators import checks, paths, ranking, spatial, trajectory
+from driftline.operators import paths, ranking, spatial, trajectory
 from driftline.plans.registry import SQL, query, table
 from driftline.sources import readers
 
@@ -180,24 +180,6 @@ def g10_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("g10_all_customers", SQL["g10_components"])(g10_components)  # its earlier name
 
 
-@query("q1_dq_suite", """
-WITH r AS (
-  SELECT 'orders_key' AS rule, (SELECT count(*) FROM orders) AS checked, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY ALL HAVING count(*) > 1 OR o_orderkey IS NULL)) AS failed UNION ALL
-  SELECT 'lineitem_key', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL)) UNION ALL
-  SELECT 'orders_customer', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) UNION ALL
-  SELECT 'supplier_nation', (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier WHERE s_nationkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey)) UNION ALL
-  SELECT 'discount_bounds', count(*), count(*) FILTER (WHERE NOT coalesce(l_discount BETWEEN 0 AND 0.09, false)) FROM lineitem UNION ALL
-  SELECT 'event_vocabulary', count(*), count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'error', 'signup')) FROM events)
-SELECT *, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
-def q1_dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    return checks.report(
-        checks.unique("orders_key", t("orders"), "o_orderkey"), checks.unique("lineitem_key", t("lineitem"), "l_orderkey", "l_linenumber"),
-        checks.foreign("orders_customer", t("orders"), "o_custkey", t("customer"), "c_custkey"), checks.foreign("supplier_nation", t("supplier"), "s_nationkey", t("nation"), "n_nationkey"),
-        checks.rule("discount_bounds", t("lineitem"), ~F.col("l_discount").between(0, 0.09)), checks.rule("event_vocabulary", t("events"), ~F.col("event_type").isin("view", "click", "error", "signup")),
-    )
-
-
 @query("q6_split_leakage", """
 WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 < 6), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 >= 8)
 SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS shared, (SELECT count(*) FROM a) AS train, (SELECT count(*) FROM b) AS test""")
@@ -302,17 +284,6 @@ def m4_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.max("d"), 6).alias("farthest"), F.round(F.min("t"), 6).alias("least"))
 
 
-@query("s6_strict_rows", """
-WITH x AS (SELECT event_id, event_id::VARCHAR || ',' || user_id::VARCHAR || ',' || value::VARCHAR || CASE WHEN event_id % 50 = 0 THEN ',x' ELSE '' END AS line FROM events)
-SELECT CASE WHEN len(string_split(line, ',')) <> 3 THEN 'WIDTH' WHEN NOT regexp_full_match(string_split(line, ',')[2], '[0-9]+') THEN 'USER' WHEN NOT string_split(line, ',')[3]::DOUBLE BETWEEN 1 AND 480 THEN 'RANGE' ELSE 'OK' END AS reason, count(*) AS n FROM x GROUP BY ALL""")
-def s6_strict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = F.when(F.col("event_id") % 50 == 0, ",x").otherwise("")
-    line = F.concat(F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("value").cast("string")), tail)
-    p = F.split(line, ",")
-    reason = F.when(F.size(p) != 3, "WIDTH").when(~F.get(p, F.lit(1)).rlike("^[0-9]+$"), "USER").when(~F.get(p, F.lit(2)).try_cast("double").between(1, 480), "RANGE").otherwise("OK")
-    return table(spark, sf_dir, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("s5_reassembled_rows", "SELECT user_id, count(*) AS n, sum(len(event_type))::BIGINT AS chars FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id")
 def s5_reassembled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type in ('signup', 'purchase')")

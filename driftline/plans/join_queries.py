@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import geo
 from driftline.operators import asof as A
-from driftline.operators import checks, ranking, reconcile, spatial
+from driftline.operators import ranking, reconcile, spatial
 from driftline.plans.analysis_queries import PLACES, points
 from driftline.plans.decision_queries import EXPANDED, POOL, candidates, pool_costs
 from driftline.plans.registry import query, table
@@ -39,20 +39,6 @@ def j6_nearest_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("s_ts").isNull().alias("missing"), F.round(age, 3).alias("age_s"))
 
 
-@query("j11_foreign_keys", """
-SELECT 'line_order' AS rule, count(*) AS checked, count(*) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS failed FROM lineitem UNION ALL
-SELECT 'line_part', count(*), count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) FROM lineitem UNION ALL
-SELECT 'line_supplier', count(*), count(*) FILTER (WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) FROM lineitem UNION ALL
-SELECT 'nation_region', count(*), count(*) FILTER (WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)) FROM nation UNION ALL
-SELECT 'customer_nation', count(*), count(*) FILTER (WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) FROM customer UNION ALL
-SELECT 'event_user', count(*), count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer)) FROM events""")
-def j11_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    links = (("line_order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("line_part", "lineitem", "l_partkey", "part", "p_partkey"), ("line_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
-             ("nation_region", "nation", "n_regionkey", "region", "r_regionkey"), ("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey"), ("event_user", "events", "user_id", "customer", "c_custkey"))
-    return checks.report(*[checks.foreign(name, t(a), ka, t(b), kb) for name, a, ka, b, kb in links]).drop("status")
-
-
 @query("j14_nearest_one", PLACES + "SELECT point_id, place_id, round(m, 3) AS distance_m FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) = 1")
 def j14_nearest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = points(spark, sf_dir)

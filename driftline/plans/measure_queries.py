@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions import expr, geo
 from driftline.operators import checks, ranking, sessions
-from driftline.plans.decision_queries import EXPANDED, RANKED, candidates, ranked, with_demand
+from driftline.plans.decision_queries import EXPANDED, RANKED, candidates, ranked
 from driftline.plans.registry import query, table
 
 
@@ -198,24 +198,6 @@ def q2_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("status")
 
 
-@query("q3_decision_rules", EXPANDED + """
-SELECT 'need_has_reason' AS rule, count(*) AS checked, count(*) FILTER (WHERE need AND reason = 'SUFFICIENT_SOC_RANGE') AS failed FROM need UNION ALL
-SELECT 'critical_is_unreachable', count(*), count(*) FILTER (WHERE warning = 'CRITICAL' AND reach >= trip) FROM need UNION ALL
-SELECT 'eligible_is_open', count(*), count(*) FILTER (WHERE verdict = 'ELIGIBLE' AND (status <> 'OPEN' OR capacity_now <= 0)) FROM cand UNION ALL
-SELECT 'service_is_allowed', count(*), count(*) FILTER (WHERE NOT list_contains(allowed, service)) FROM cand UNION ALL
-SELECT 'queue_is_short', count(*), count(*) FILTER (WHERE verdict = 'ELIGIBLE' AND wait_min > 90) FROM cand""")
-def q3_decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, c = with_demand(spark, sf_dir), candidates(spark, sf_dir)
-    no = lambda x: F.coalesce(x, F.lit(False))
-    ok = F.col("verdict") == "ELIGIBLE"
-    return checks.report(
-        checks.rule("need_has_reason", d, no(F.col("need") & (F.col("reason") == "SUFFICIENT_SOC_RANGE"))),
-        checks.rule("critical_is_unreachable", d, no((F.col("warning") == "CRITICAL") & (F.col("range_km") >= F.col("trip_km")))),
-        checks.rule("eligible_is_open", c, no(ok & ((F.col("status") != "OPEN") | (F.col("capacity_now") <= 0)))),
-        checks.rule("service_is_allowed", c, ~F.array_contains("allowed", F.col("service"))), checks.rule("queue_is_short", c, no(ok & (F.col("wait_min") > 90))),
-    ).drop("status")
-
-
 @query("q4_scenarios", """
 WITH g AS (SELECT o_orderpriority AS scenario, count(*) AS trips, count(DISTINCT o_custkey) AS drivers, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, max(o_totalprice) AS most FROM orders GROUP BY ALL)
 SELECT scenario, trips, drivers, CASE WHEN trips < 100 THEN 'TOO_FEW' WHEN pending = 0 THEN 'NO_PENDING' WHEN most < 400000 THEN 'NO_LARGE' ELSE 'PASS' END AS result FROM g""")
@@ -225,17 +207,3 @@ def q4_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("trips"), F.count_distinct("o_custkey").alias("drivers"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.max("o_totalprice").alias("most"))
     failed = expr.violations({"TOO_FEW": F.col("trips") < 100, "NO_PENDING": F.col("pending") == 0, "NO_LARGE": F.col("most") < 400000})
     return g.select("scenario", "trips", "drivers", F.coalesce(F.get(failed, F.lit(0)), F.lit("PASS")).alias("result"))
-
-
-@query("q5_trace_checks", TRACE + """
-SELECT 'unique_points' AS rule, (SELECT count(*) FROM events) AS checked, (SELECT count(*) FROM (SELECT user_id, ts FROM events GROUP BY ALL HAVING count(*) > 1)) AS failed UNION ALL
-SELECT 'in_order', count(*), count(*) FILTER (WHERE gap < 0) FROM j UNION ALL
-SELECT 'plausible_speed', count(*), count(*) FILTER (WHERE jump > 55 * (gap / 1e6)) FROM j UNION ALL
-SELECT 'within_box', count(*), count(*) FILTER (WHERE lat NOT BETWEEN 20.9 AND 21.0005) FROM j""")
-def q5_trace_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gps(spark, sf_dir)
-    no = lambda x: F.coalesce(x, F.lit(False))
-    return checks.report(
-        checks.unique("unique_points", table(spark, sf_dir, "events"), "user_id", "ts"), checks.rule("in_order", g, no(F.col("gap_s") < 0)),
-        checks.rule("plausible_speed", g, no(F.col("jump_m") > 55 * F.col("gap_s"))), checks.rule("within_box", g, ~geo.in_box(F.col("lat"), F.col("lon"), 20.9, 105.0, 21.0005, 107.0)),
-    ).drop("status")

@@ -32,11 +32,13 @@ def latest_state(events: DataFrame, key: str = "user_id", ts: str = "ts", value:
 
 
 TRACE = "user_id long, event_id long, ts_s double, status string, gap_reset boolean, since_match_m double, generation long"
-STATE = "last double, buffered long, stationary long, moved double, matched double, x double, recent array<long>, hashes array<long>, generation long"
+STATE = "last double, buffered long, stationary long, moved double, matched double, x double, recent array<long>, hashes array<long>, times array<double>, generation long"
 
 
-def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: float = 5.0, every_s: float = 10.0, every_m: float = 50.0, remembered: int = 1000, forget_s: int | None = None) -> DataFrame:
-    """A status for each observation (user_id, event_id, ts_s, x in metres) of a driver, in order of arrival.
+def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: float = 5.0, every_s: float = 10.0, every_m: float = 50.0, remember_s: float = 3600.0, forget_s: int | None = None, arrival: str | None = None) -> DataFrame:
+    """A status for each observation (user_id, event_id, ts_s, x in metres) of a driver, in order of arrival: that of the column
+    named, or, without one, that of the rows. Ids are remembered for remember_s seconds of the driver's own time; what is older
+    than the last observation is STALE in any case.
 
     DUPLICATE (an id seen before), CONFLICT (an id seen before with another time or place; it changes nothing), STALE (older
     than the last; equal times are fine), WARM_UP (fewer than three since the last gap), STATIONARY (three short steps, once
@@ -50,20 +52,22 @@ def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: flo
         if state.hasTimedOut:
             state.remove()
             return
-        last, buffered, still, moved, matched, x0, recent, hashes, generation = state.get if state.exists else (None, 0, 0, 0.0, None, None, [], [], 0)
-        seen, out = dict(zip(recent, hashes, strict=True)), []  # in order of arrival
+        last, buffered, still, moved, matched, x0, recent, hashes, times, generation = state.get if state.exists else (None, 0, 0, 0.0, None, None, [], [], [], 0)
+        seen, out = dict(zip(recent, zip(hashes, times, strict=True), strict=True)), []  # in order of arrival, and so of time
+        if arrival:
+            batches = iter([pd.concat(list(batches)).sort_values(arrival, kind="stable")])
         for rows in batches:
             for r in rows.itertuples(index=False):
                 payload = hash((r.ts_s, r.x if r.x == r.x else None))  # numbers: the same in every process
                 if r.event_id in seen:
-                    out.append((key[0], r.event_id, r.ts_s, "DUPLICATE" if seen[r.event_id] == payload else "CONFLICT", False, moved, generation))
+                    out.append((key[0], r.event_id, r.ts_s, "DUPLICATE" if seen[r.event_id][0] == payload else "CONFLICT", False, moved, generation))
                     continue
                 if last is not None and r.ts_s < last:
                     out.append((key[0], r.event_id, r.ts_s, "STALE", False, moved, generation))
                     continue
-                seen[r.event_id] = payload
-                if len(seen) > remembered:
-                    del seen[next(iter(seen))]
+                seen[r.event_id] = (payload, r.ts_s)
+                while seen[first := next(iter(seen))][1] < r.ts_s - remember_s:
+                    del seen[first]
                 gap = last is not None and r.ts_s - last > gap_s
                 if gap:
                     buffered, still, matched, generation = 0, 0, None, generation + 1
@@ -80,12 +84,12 @@ def trace(events: DataFrame, gap_s: float = 60.0, warm_up: int = 3, still_m: flo
                 else:
                     status = "WAITING"
                 out.append((key[0], r.event_id, r.ts_s, status, gap, moved, generation))
-        state.update((last, buffered, still, moved, matched, x0, list(seen), list(seen.values()), generation))
+        state.update((last, buffered, still, moved, matched, x0, list(seen), [h for h, _ in seen.values()], [t for _, t in seen.values()], generation))
         if forget_s:
             state.setTimeoutDuration(forget_s * 1000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ts_s", "status", "gap_reset", "since_match_m", "generation"])
 
-    return events.select("user_id", "event_id", "ts_s", "x").groupBy("user_id").applyInPandasWithState(run, TRACE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_s else GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "event_id", "ts_s", "x", *([arrival] if arrival else [])).groupBy("user_id").applyInPandasWithState(run, TRACE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_s else GroupStateTimeout.NoTimeout)
 
 
 def ticks(spark: SparkSession, every_s: int = 30) -> DataFrame:

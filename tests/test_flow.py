@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions import expr
-from driftline.operators import trajectory
+from driftline.operators import checks, trajectory
 from driftline.plans.catalog import QUERIES
 from driftline.sources import readers, sinks
 from driftline.streaming import trace
@@ -65,6 +65,25 @@ def test_trace_conflicts_and_generations(spark, tmp_path):
     assert n == 6 and [(r.event_id, r.status, r.generation) for r in got if r.user_id == 1] == [(1, "WARM_UP", 0), (1, "DUPLICATE", 0), (1, "CONFLICT", 0), (2, "WARM_UP", 1), (3, "WARM_UP", 2)]
 
 
+def test_trace_by_arrival_and_forgotten_ids(spark, tmp_path):
+    schema = T.StructType.fromDDL("user_id long, event_id long, ts_s double, x double, arrival long")
+    rows = [(1, 1, 0.0, 0.0, 0), (1, 2, 30.0, 0.0, 1), (1, 1, 60.0, 0.0, 2), (1, 9, 5000.0, 1.0, 3), (1, 1, 5001.0, 1.0, 4), (1, 9, 5000.0, 1.0, 5), (1, 2, 30.0, 0.0, 6), (2, 1, None, 0.0, 0)]
+    spark.createDataFrame(rows[::-1], schema).where("ts_s is not null").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    trace.replay(trace.trace(stream, arrival="arrival"), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = sorted((r.ts_s, r.event_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0.0, 1, "WARM_UP"), (30.0, 2, "STALE"), (30.0, 2, "WARM_UP"), (60.0, 1, "CONFLICT"), (5000.0, 9, "DUPLICATE"), (5000.0, 9, "WARM_UP"), (5001.0, 1, "WARM_UP")]
+
+
+def test_checks_count_rows_of_hot_and_null_keys(spark):
+    a = spark.createDataFrame([(1,), (1,), (7,), (7,), (None,)], "k int")
+    b = spark.createDataFrame([(1,), (1,), (None,)], "k int")
+    assert [tuple(r) for r in checks.foreign("f", a, "k", b, "k").collect()] == [("f", 5, 2)]
+    assert [tuple(r) for r in checks.foreign("f", a.limit(0), "k", b, "k").collect()] == [("f", 0, 0)]
+    got = {r.rule: (r.checked, r.failed) for r in checks.rules(a, {"low": F.col("k") > 5, "never": F.lit(False)}).collect()}
+    assert got == {"low": (5, 3), "never": (5, 0)} and {(r.checked, r.failed) for r in checks.rules(a.limit(0), {"x": F.lit(True)}).collect()} == {(0, 0)}
+
+
 def test_departures_are_dated_by_the_run(spark):
     lateral = [0.0] * 5 + [90.0] * 5
     points = pd.DataFrame({"t": [5.0 * i for i in range(10)], "along": [20.0 * i for i in range(10)], "lateral": lateral})
