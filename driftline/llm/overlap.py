@@ -1,7 +1,10 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash, held to the Jaccard similarity of their word shingles: the near-duplicate stage of pipelines.
 
-Candidates share one of BANDS min-hash bands of ROWS rows: a pair of similarity 0.8 is missed with a chance of 7e-6, a
-nearer one with less. Candidates are chained into groups, and within a group every pair not yet joined is decided by its
+Candidates are found by the bit-sliced SimHash search of `simhash` over the same five-word shingles. Its radius of 4 bits
+ends at a similarity of about 0.96: at 0.8 two fingerprints differ in 9.7 bits on average, and a radius that caught nearly
+all of those pairs (17 bits) leaves its pigeonhole pieces of under four bits each, which select nothing. So the pairs
+between 0.8 and that are found by BANDS min-hash bands of ROWS rows besides: a pair of similarity 0.8 is missed with a
+chance of 7e-6, a nearer one with less. Candidates are chained into groups, and within a group every pair not yet joined is decided by its
 whole shingle sets, not by an estimate. A large group is dealt into pairs of chunks, so no task holds a whole group; only a
 spanning star of each block's links leaves it.
 """
@@ -16,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm import simhash
 from driftline.llm.common import keep, looked_up, own_text, partitions
-from driftline.llm.simhash import components, labelled
+from driftline.llm.simhash import bit_counts, components, labelled, majority
 
 SEED, SHINGLE, BANDS, ROWS = 42, 5, 30, 5
 #: The least similarity that links, as a fraction of whole numbers.
@@ -53,6 +57,12 @@ def min_hashes(found: np.ndarray, n: int = BANDS * ROWS, at_once: int = 1 << 12)
     return least
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles; 0 without any."""
+    counts = sum((bit_counts(found[i : i + simhash.AT_ONCE]) for i in range(0, len(found), simhash.AT_ONCE)), np.zeros(64, np.int64))
+    return majority(counts, len(found))
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     common = np.intersect1d(a, b, assume_unique=True).size
     return common * LEAST[1] >= LEAST[0] * (len(a) + len(b) - common)
@@ -76,19 +86,21 @@ def joined(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (a hash of the shingle set), bands (their keys) of every row."""
+    """doc_id, set_id (a hash of the shingle set), fp (its SimHash), bands (their keys) of every row; no words, no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, bands = [], []
+            ids, fps, bands = [], [], []
             for text in b.column(1).to_pylist():
                 found = shingles(text)
                 ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                fps.append(fingerprint(found))
                 least = min_hashes(found).reshape(BANDS, ROWS) if len(found) else ()
                 bands.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least)], np.uint64).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(np.array(ids, np.uint64).view(np.int64), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "set_id", "bands"])
+            ids, fps = (pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (ids, fps))
+            yield pa.record_batch([b.column(0), ids, fps, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "set_id", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text")).mapInArrow(run, "doc_id long, set_id long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text")).mapInArrow(run, "doc_id long, set_id long, fp long, bands array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -103,11 +115,26 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select(own_text().alias("text")).mapInArrow(run, "set_id long, n long, shingles binary")
 
 
+def sketched(own: DataFrame) -> DataFrame:
+    """(a, b): edges that chain the set_ids whose SimHashes are within simhash.RADIUS. A fingerprint that links, or that sets
+    share, is a node of its own (a hash of it), so a hot one is nobody's join key."""
+    rows = own.where(F.size("bands") > 0).select("fp", "set_id").distinct()
+    node = F.xxhash64(F.lit("fp"), F.col("fp"))
+    classes = keep(rows.groupBy("fp").agg(F.count("*").alias("n")), "sketches")
+    near = keep(simhash.links(classes.select("fp")), "near")
+    linked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    nodes = classes.where("n > 1").unionByName(classes.join(linked, "fp", "left_semi")).distinct().withColumn("node", node)
+    members = looked_up(rows, "fp", keep(nodes, "nodes"), "node").where("node IS NOT NULL")
+    edge = [F.xxhash64(F.lit("fp"), F.col(c)).alias(c) for c in ("a", "b")]
+    return near.select(*edge).union(members.select(F.col("node").alias("a"), F.col("set_id").alias("b")))
+
+
 def links(docs: DataFrame, own: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between set_ids that join the same ones as all candidates that are alike."""
     rows = own.select("set_id", F.explode("bands").alias("key")).distinct()
     low = rows.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key", "low")
-    chained = components(rows.join(low, "key").where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct(), "chained")
+    banded = rows.join(low, "key").where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b"))
+    chained = components(banded.union(sketched(own)).distinct(), "chained")
     groups = keep(chained.union(chained.select(F.col("root").alias("node"), "root").distinct()), "groups")
     found = sets(docs).join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("root", "set_id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     found = keep(found, "sets")

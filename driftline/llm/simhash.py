@@ -51,8 +51,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         j = min(n, i + AT_ONCE)
         stops = ends[i + shingle - 1 : j + shingle - 1] if len(words) >= shingle else ends[-1:]
         h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[i:j].tolist(), stops.tolist(), strict=True)), np.uint64, j - i)
-        found += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(found * 2 > n, bitorder="little").view(np.uint64)[0])
+        found += bit_counts(h)
+    return majority(found, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """For each of the 64 bits, in how many hashes it is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

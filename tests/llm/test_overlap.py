@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 import corpus_pipeline as cp
-from driftline.llm import overlap
+from driftline.llm import overlap, simhash
+from driftline.llm.simhash import components
 
 
 def similarity(a, b):
@@ -47,6 +48,27 @@ def test_near_copies_equal_all_pairs(spark):
     assert pairs(1) == pairs(1024)  # chunks of one set meet each other too
 
 
+def test_sketches_chain_what_simhash_links(spark):
+    """sketched() against all pairs of fingerprints; a fingerprint shared by sets, a pair within four bits, a chain, strangers."""
+    fps = {1: 0b1, 2: 0b1, 3: 0b11110, 4: 0xFFFF << 40, 5: (0xFFFF << 40) | 0b1111, 6: 0xFFFFF << 20, 7: (0xFFFF << 40) | 0b11111111, 8: 0b1 << 63}
+    rows = [(s, s, fp - (1 << 64) if fp >> 63 else fp, [1]) for s, fp in fps.items()]
+    own = spark.createDataFrame([*rows, (9, 9, 0, [])], "doc_id long, set_id long, fp long, bands array<long>")  # no words: no candidate
+    group = {r.node: r.root for r in components(overlap.sketched(own)).collect() if r.node in fps}
+    found = {frozenset(s for s in group if group[s] == root) for root in group.values()}
+    label = {s: s for s in fps}
+    for a in fps:
+        for b in fps:
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                label = {s: label[a] if v == label[b] else v for s, v in label.items()}
+    want = {frozenset(s for s in fps if label[s] == v) for v in label.values()}
+    assert found == {g for g in want if len(g) > 1}
+
+
+def test_fingerprint_of_a_set():
+    text = " ".join(f"w{i}" for i in range(500))  # no shingle twice: the set's SimHash is the text's
+    assert overlap.fingerprint(overlap.shingles(text)) == simhash.fingerprint(text, 5) != 0 == overlap.fingerprint(overlap.shingles(" "))
+
+
 def test_chains_within_a_block():
     base = np.arange(100, dtype=np.uint64)
     chain = [base + np.uint64(10 * i) for i in range(20)]
