@@ -104,13 +104,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """set_id, n, shingles (8 bytes each) of every row."""
+    """set_id, n, shingles (8 bytes each) of each batch's distinct sets, so that a text of many copies is one row a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_ = [shingles(t) for t in b.column(0).to_pylist()]
-            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in all_], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) for x in all_], pa.int64()), pa.array([x.tobytes() for x in all_], pa.binary())], names=["set_id", "n", "shingles"])
+            found = {}
+            for text in dict.fromkeys(b.column(0).to_pylist()):
+                data = shingles(text).tobytes()
+                found[xxhash.xxh64_intdigest(data, SEED)] = data
+            ids = np.array(list(found), np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) // 8 for x in found.values()], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["set_id", "n", "shingles"])
 
     return docs.select(own_text().alias("text")).mapInArrow(run, "set_id long, n long, shingles binary")
 
