@@ -1,14 +1,12 @@
-"""Roads and routes: directed segments from ways, fixed-step samples of a route, signatures, snapping, corridor overlap."""
+"""Roads and routes: directed segments from ways, fixed-step samples of a route, signatures, snapping."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftline.functions import geo
+from driftline.functions import geo, tiles
 from driftline.operators.sessions import runs
 
 
@@ -84,68 +82,23 @@ def midpoints(vertices: DataFrame, route: str, order: str) -> DataFrame:
 def snapped(points: DataFrame, lines: DataFrame, radius_m: float, tie_m: float = 0.05, turn: float = 45.0) -> DataFrame:
     """(point_id, line_id, distance_m, ties, ambiguous): the nearest line of each point up to radius_m.
 
-    points: point_id, x, y; lines: line_id, ax, ay, bx, by (metres, no longer than radius_m). Lines stand in the tiles of
-    their middle, which are twice the radius wide, so a point meets all its lines in nine tiles. Within tie_m of the best the
-    smallest line_id wins; where headings of those differ by more than `turn` degrees the point is ambiguous.
+    points: point_id, x, y; lines: line_id, ax, ay, bx, by (metres, of any length). A line stands in every tile up to radius_m
+    beside it, a point in its own, so they meet in one equi join and once. Within tie_m of the best the smallest line_id wins; where
+    headings of those differ by more than `turn` degrees the point is ambiguous.
     """
     wide = 2.0 * radius_m
-    tile = lambda x, y: F.struct(F.floor(x / wide).alias("i"), F.floor(y / wide).alias("j"))
-    around = F.array(*[F.struct((F.floor(F.col("x") / wide) + i).alias("i"), (F.floor(F.col("y") / wide) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = points.select("point_id", "x", "y", F.explode(around).alias("tile"))
-    right = lines.withColumn("tile", tile((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2))
+    left = points.select("point_id", "x", "y", F.floor(F.col("x") / wide).alias("i"), F.floor(F.col("y") / wide).alias("j"))
+    right = lines.withColumn("tile", F.explode(tiles.segment_tiles(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), wide, radius_m)))
+    right = right.withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile")
     d, _ = geo.project(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     heading = F.pmod(F.degrees(F.atan2(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))) + 360.0, F.lit(360.0))
-    near = left.join(right, "tile").withColumns({"d": d, "heading": heading}).where(F.col("d") <= radius_m)
+    near = left.join(right, ["i", "j"]).withColumns({"d": d, "heading": heading}).where(F.col("d") <= radius_m)
     near = near.withColumn("best", F.min("d").over(W.partitionBy("point_id"))).where(F.col("d") <= F.col("best") + tie_m)
     near = near.withColumn("first", F.min_by("heading", "line_id").over(W.partitionBy("point_id")))
     found = near.groupBy("point_id").agg(F.min("line_id").alias("line_id"), F.min("d").alias("distance_m"), F.count("*").alias("ties"), F.max(geo.heading_difference(F.col("heading"), F.col("first"))).alias("spread"))
     return found.select("point_id", "line_id", "distance_m", "ties", (F.col("spread") > turn).alias("ambiguous"))
 
 
-def corridor_overlap(planned: np.ndarray, actual: np.ndarray, lateral_m: float = 45.0, turn: float = 60.0) -> float:
-    """Metres that an actual route shares with a planned one, in order. Both are (n, 2) points in metres.
-
-    Planned pieces are taken one after the other. Of the actual pieces not behind the last one used, those count whose
-    heading is within `turn` degrees and that lie at most lateral_m beside it; each covers an interval of the planned piece.
-    The cursors on both routes never move back, so a stretch is counted once.
-    """
-    a, b = np.diff(planned, axis=0), np.diff(actual, axis=0)
-    la, lb = np.hypot(*a.T), np.hypot(*b.T)
-    shared, last = 0.0, (0, 0.0)  # the actual piece and the share of it already used
-    for i in np.flatnonzero(la > 0):
-        u = a[i] / la[i]
-        start, end = actual[:-1] - planned[i], actual[1:] - planned[i]
-        s, e = start @ u, end @ u
-        side = np.abs(((start + end) / 2) @ np.array([-u[1], u[0]]))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            along = (b @ u) / lb
-        ok = (lb > 0) & (along >= np.cos(np.radians(turn))) & (side <= lateral_m) & (e > 0) & (s < la[i]) & (np.arange(len(b)) >= last[0])
-        cursor = 0.0
-        for j in np.flatnonzero(ok):
-            lo, hi = max(cursor, s[j], 0.0), min(e[j], la[i])
-            p0, p1 = (lo - s[j]) / (e[j] - s[j]), (hi - s[j]) / (e[j] - s[j])
-            if j == last[0]:
-                p0 = max(p0, last[1])
-                lo = max(lo, s[j] + p0 * (e[j] - s[j]))
-            if hi > lo and p1 > p0:
-                shared += min(hi - lo, (p1 - p0) * lb[j])
-                cursor, last = hi, (j, p1)
-    return round(min(shared, float(la.sum()), float(lb.sum())), 1)
-
-
-def corridor_pairs(pairs: DataFrame, budget: int = 200_000) -> DataFrame:
-    """pairs: planned, actual (array<struct<x, y>>). Adds shared_m and status: above the budget of pieces times pieces there
-    is no figure at all, never a part of one."""
-    fits = F.size("planned").cast("long") * F.size("actual") <= budget
-
-    def run(planned: pd.Series, actual: pd.Series) -> pd.Series:
-        points = lambda line: np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2)
-        return pd.Series([None if p is None or a is None or len(p) < 2 or len(a) < 2 else corridor_overlap(points(p), points(a)) for p, a in zip(planned, actual, strict=True)], dtype=float)
-
-    got = F.pandas_udf(run, "double")(F.when(fits, F.col("planned")), F.when(fits, F.col("actual")))
-    return pairs.withColumn("shared_m", F.when(fits, got)).withColumn("status", F.when(fits, "OK").otherwise("SIMILARITY_WORK_LIMIT"))
-
-
 def legs_and_detours(matrix: DataFrame, trips: DataFrame) -> DataFrame:
     """trips (trip_id, a, via, b) with leg1, leg2, direct, detour from a matrix (a, b, cost); nulls where a leg is missing."""
     cost = lambda p, q, name: matrix.select(F.col("a").alias(p), F.col("b").alias(q), F.col("cost").alias(name))

@@ -302,13 +302,6 @@ def g7_ordered_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.overlap_pairs(pairs).select("user_id", F.round("overlap", 4).alias("overlap"), "status")
 
 
-@query("g15_trip_departures")
-def g15_trip_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Departures of each user's trace from a corridor: value is the distance to it. No SQL: tested on drawn cases."""
-    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return trajectory.trip_departures(e.select(F.col("user_id").alias("trip_id"), (F.col("n") * 5.0).alias("t"), (F.col("n") * 20.0).alias("along"), (F.col("value") * 0.6).alias("lateral")))
-
-
 @query("s9_polylines")
 def s9_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded polylines; broken ones are null. No SQL: tested on a published example."""

@@ -49,16 +49,6 @@ def g18_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.midpoints(vertices(spark, sf_dir), "route", "k").select("route", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("g6_corridor_overlap")
-def g6_corridor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metres that each route shares, in order, with the same customer's next one. No SQL: tested on drawn routes."""
-    lines = vertices(spark, sf_dir).groupBy("route").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("v")).select("route", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route"), "o_custkey")
-    after = o.withColumn("next", F.expr("lead(route) OVER (PARTITION BY o_custkey ORDER BY route)")).where("next is not null").drop("o_custkey")
-    pairs = after.join(lines.withColumnRenamed("line", "planned"), "route").join(lines.select(F.col("route").alias("next"), F.col("line").alias("actual")), "next")
-    return roads.corridor_pairs(pairs).select("route", "next", "shared_m", "status")
-
-
 @query("g8_work_budget", """
 WITH p AS (SELECT l_orderkey AS route, l_suppkey % 3 AS cell, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT o_orderkey AS route, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders),
 w AS (SELECT o.route, coalesce(sum(a.n * b.n), 0) AS work FROM o LEFT JOIN p a USING (route) LEFT JOIN p b ON b.route = o.next AND b.cell = a.cell WHERE o.next IS NOT NULL GROUP BY o.route)
@@ -76,16 +66,16 @@ def g8_work_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 1009)::DOUBLE AS x, (c_custkey * 7 % 883)::DOUBLE AS y FROM customer),
 s AS (SELECT s_suppkey AS line_id, (s_suppkey * 37 % 1009)::DOUBLE AS ax, (s_suppkey * 53 % 883)::DOUBLE AS ay, (s_suppkey * 37 % 1009 + s_suppkey % 3 * 20 + 7)::DOUBLE AS bx, (s_suppkey * 53 % 883 + s_suppkey % 5 * 13)::DOUBLE AS by_ FROM supplier),
 d AS (SELECT point_id, line_id, x, y, ax, ay, bx, by_, greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM p, s),
-e AS (SELECT point_id, line_id, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2)) AS m FROM d),
-f AS (SELECT *, min(m) OVER (PARTITION BY point_id) AS best FROM e WHERE m <= 100)
-SELECT point_id, min(line_id) AS line_id, round(min(m), 4) AS distance_m, count(*) AS ties FROM f WHERE m <= best + 0.05 GROUP BY point_id""")
+e AS (SELECT point_id, line_id, degrees(atan2(bx - ax, by_ - ay)) AS h, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2)) AS m FROM d),
+f AS (SELECT *, min(m) OVER (PARTITION BY point_id) AS best FROM e WHERE m <= 100), g AS (SELECT *, first_value(h) OVER (PARTITION BY point_id ORDER BY line_id) AS h0 FROM f WHERE m <= best + 0.05)
+SELECT point_id, min(line_id) AS line_id, round(min(m), 4) AS distance_m, count(*) AS ties, max(least(abs(h - h0), 360 - abs(h - h0))) > 45 AS ambiguous FROM g GROUP BY point_id""")
 def g12_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     p = table(spark, sf_dir, "customer").select(c.alias("point_id"), (c % 1009).cast("double").alias("x"), (c * 7 % 883).cast("double").alias("y"))
     ax, ay = s * 37 % 1009, s * 53 % 883
     ends = {"ax": ax, "ay": ay, "bx": ax + s % 3 * 20 + 7, "by": ay + s % 5 * 13}
     lines = table(spark, sf_dir, "supplier").select(s.alias("line_id"), *[v.cast("double").alias(n) for n, v in ends.items()])
-    return roads.snapped(p, lines, 100.0).select("point_id", "line_id", F.round("distance_m", 4).alias("distance_m"), "ties")
+    return roads.snapped(p, lines, 100.0).select("point_id", "line_id", F.round("distance_m", 4).alias("distance_m"), "ties", "ambiguous")
 
 
 @query("g11_detours", """

@@ -82,13 +82,10 @@ def test_ordered_overlap_equals_brute_force():
             assert trajectory.ordered_overlap(list(a), wa, list(b), wb) == best[4][3]
 
 
-def test_polylines_and_departures():
+def test_polylines():
     assert trajectory.decode_polyline("_p~iF~ps|U_ulLnnqC_mqNvxq`@") == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     with pytest.raises(ValueError):
         trajectory.decode_polyline("_p~iF~ps|U_")
-    points = lambda lateral: pd.DataFrame({"t": [5.0 * i for i in range(len(lateral))], "along": [20.0 * i for i in range(len(lateral))], "lateral": lateral})
-    count = lambda x: int(trajectory.departures(points(x)).departures.iloc[0])
-    assert count([0.0] * 12) == 0 and count([0.0] * 5 + [90.0] * 5) == 1 and count(([0.0] * 4 + [90.0] * 4) * 2) == 2 and count([90.0] * 8) == 0 and count([0.0] * 4 + [90.0, 0.0] * 3) == 0
 
 
 def test_trace_stream(spark, tmp_path):

@@ -4,7 +4,6 @@ import itertools
 import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,23 +29,6 @@ def test_segments_directions_and_short_pieces(spark):
     assert (a.from_node, a.to_node) == (b.to_node, b.from_node)
 
 
-def test_corridor_overlap():
-    line = np.array([(x, 0.0) for x in range(0, 501, 50)], float)
-    aside = lambda d: line + np.array([0.0, d])
-    assert roads.corridor_overlap(line, line) == 500.0
-    assert roads.corridor_overlap(line, aside(40)) == 500.0 and roads.corridor_overlap(line, aside(46)) == 0.0
-    assert roads.corridor_overlap(line, line[::-1]) == 0.0
-    assert roads.corridor_overlap(line, line[2:6]) == 150.0
-    assert roads.corridor_overlap(line, np.concatenate([line, line])) == 500.0  # a second lap counts nothing
-    assert roads.corridor_overlap(line, np.array([(0.0, 0.0), (0.0, 300.0)])) == 0.0
-
-
-def test_corridor_budget(spark):
-    df = spark.createDataFrame([([(0.0, 0.0), (9.0, 0.0)], [(0.0, 0.0), (9.0, 0.0)]), (None, [(0.0, 0.0)]), ([(0.0, 0.0)] * 9, [(0.0, 0.0)] * 9)], "planned array<struct<x:double,y:double>>, actual array<struct<x:double,y:double>>")
-    got = [(r.shared_m, r.status) for r in roads.corridor_pairs(df, 50).collect()]
-    assert got[0] == (9.0, "OK") and got[1][0] is None and got[2] == (None, "SIMILARITY_WORK_LIMIT")
-
-
 def test_snapping_ties_and_headings(spark):
     points = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 500.0)], "point_id int, x double, y double")
     lines = spark.createDataFrame([(7, 0.0, 0.0, 10.0, 0.0), (8, 10.0, 0.0, 0.0, 0.0), (9, 0.0, 0.04, 10.0, 0.04)], "line_id int, ax double, ay double, bx double, by double")
