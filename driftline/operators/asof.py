@@ -17,7 +17,9 @@ def asof(requests: DataFrame, states: DataFrame, key: str, at: str, ts: str, pay
     """
     second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (1_000_000 * bucket)) if bucket else F.lit(0)
     names = requests.columns
-    left = requests.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__r"), second(at).alias("__b"))
+    # requests that can match nothing stay out of the shuffle
+    none = requests.where(F.col(key).isNull() | F.col(at).isNull())
+    left = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__r"), second(at).alias("__b"))
     state = F.struct(F.col(ts), *payload)
     right = states.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__side"), state.alias("__s"), second(ts).alias("__b"))
     both = left.unionByName(right, allowMissingColumns=True)
@@ -28,8 +30,36 @@ def asof(requests: DataFrame, states: DataFrame, key: str, at: str, ts: str, pay
         ends = ends.groupBy("__k", "__b").agg(F.max("__s").alias("__s"))
         before = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
         ends = ends.select(F.col("__k").alias("__k2"), F.col("__b").alias("__b2"), F.last("__s", ignorenulls=True).over(before).alias("__before"))
-        rows = rows.join(ends, F.col("__k").eqNullSafe(F.col("__k2")) & F.col("__b").eqNullSafe(F.col("__b2")), "left").withColumn("__last", F.coalesce("__last", "__before"))
-    return rows.select("__r.*", *[F.col(f"__last.{c}").alias(f"s_{c}") for c in (ts, *payload)])
+        rows = rows.join(ends, (F.col("__k") == F.col("__k2")) & (F.col("__b") == F.col("__b2")), "left").withColumn("__last", F.coalesce("__last", "__before"))
+    return _with_unmatched(rows.select("__r.*", *[F.col(f"__last.{c}").alias(f"s_{c}") for c in (ts, *payload)]), none)
+
+
+def _with_unmatched(found: DataFrame, none: DataFrame) -> DataFrame:
+    return found.unionAll(none.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields[len(none.columns) :]]))
+
+
+def known_asof(requests: DataFrame, states: DataFrame, key: str, at: str, ts: str, arrived: str, payload: list[str], bucket: int | None = None) -> DataFrame:
+    """Each request with the latest state of its key, by ts, of those that were known by then: ts <= at and arrived <= at. A state
+    that came late, or that was stamped ahead of its time, counts only from the later of both instants on.
+
+    As a state is known from greatest(ts, arrived) on, a running maximum of (ts, payload) in that order is the answer: one shuffle
+    on (key, time bucket) and one window, buckets beginning with the maximum of the earlier ones. payload, ts and arrived come
+    out with the prefix s_. Ties on (key, ts): the larger payload, then arrival. Rows without key or time match nothing.
+    """
+    second = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (1_000_000 * bucket)) if bucket else F.lit(0)
+    none = requests.where(F.col(key).isNull() | F.col(at).isNull())
+    left = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*requests.columns).alias("__r"), second(F.col(at)).alias("__b"))
+    since = F.greatest(ts, arrived)
+    right = states.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(arrived).isNotNull()).select(F.col(key).alias("__k"), since.alias("__t"), F.lit(0).alias("__side"), F.struct(ts, *payload, arrived).alias("__s"), second(since).alias("__b"))
+    order = W.partitionBy("__k", "__b").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("__last", F.max("__s").over(order)).where("__side = 1")
+    if bucket:
+        ends = right.groupBy("__k", "__b").agg(F.max("__s").alias("__s")).unionByName(left.select("__k", "__b").distinct(), allowMissingColumns=True)
+        ends = ends.groupBy("__k", "__b").agg(F.max("__s").alias("__s"))
+        before = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+        ends = ends.select(F.col("__k").alias("__k2"), F.col("__b").alias("__b2"), F.max("__s").over(before).alias("__before"))
+        rows = rows.join(ends, (F.col("__k") == F.col("__k2")) & (F.col("__b") == F.col("__b2")), "left").withColumn("__last", F.greatest("__last", "__before"))
+    return _with_unmatched(rows.select("__r.*", *[F.col(f"__last.{c}").alias(f"s_{c}") for c in (ts, *payload, arrived)]), none)
 
 
 def freshness(age_s: Column, limit_s: float = 600.0) -> Column:
