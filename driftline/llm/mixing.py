@@ -102,15 +102,15 @@ def running(df: DataFrame, group: str, order: list[str], value: str, to: str) ->
     return out.withColumn(to, F.col(to) + F.col("earlier")).drop("range", "r", "g", "earlier")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies for every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and the columns `carry` for every row of docs (doc_id, text, source).
 
     A null text has no words and is taken once; a null source is one source, ordered last. Repeated rows are rounded
     one by one. copies is 0 to `most`. A source's taken words miss its target by less than its largest document, mostly
     by much less. Other columns are left out. An empty table gives none.
     """
     spark = docs.sparkSession
-    rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of().alias("size")), "sizes")
+    rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of().alias("size"), *carry), "sizes")
     counts = keep(rows.groupBy("source", "size").agg(F.count("*").alias("docs")), "histogram")
     totals = [(r.source, int(r.n), float(r.top)) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("n"), F.max("size").alias("top")).collect()]
     goal = targets([(s, n) for s, n, _ in totals], weights, share, most)
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rows = rows.join(of.withColumnRenamed("source", "at"), F.expr("source <=> at")).drop("at")
     rate = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(most)))
     rows = rows.withColumn("rate", F.round(rate * UNIT).cast("long")).drop("lam", "scale").withColumn("mixed", F.xxhash64("doc_id", "size"))
-    rows = running(rows, "source", ["size", "mixed", "doc_id"], "rate", "up_to")
+    rows = running(rows, "source", ["size", "mixed", "doc_id", *carry], "rate", "up_to")
     half = F.lit(UNIT // 2)
     copies = F.floor((F.col("up_to") + half) / UNIT) - F.floor((F.col("up_to") - F.col("rate") + half) / UNIT)
     rows = keep(rows.withColumn("copies", copies.cast("long")).drop("up_to"), "rounded")
@@ -130,9 +130,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rows = rows.join(now, F.expr("source <=> at")).drop("at")
     can = F.when(F.col("missing") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("missing"))
     rows = rows.withColumn("spare", F.when(can, F.col("size")).otherwise(0))
-    rows = running(rows, "source", ["size", "mixed", "doc_id"], "spare", "made_up")
+    rows = running(rows, "source", ["size", "mixed", "doc_id", *carry], "spare", "made_up")
     more = F.when((F.col("spare") > 0) & (F.col("made_up") <= F.abs("missing")), F.signum("missing").cast("long")).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), (F.col("copies") + more).alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), (F.col("copies") + more).alias("copies"), *carry)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
