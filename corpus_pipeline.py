@@ -1,8 +1,8 @@
 """A corpus pipeline over documents: quality, near duplicates, personal data, mixing, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it again as the next
-one's docs. All but the last return the columns of documents. Rows are told apart by doc_id and text: rows that share a doc_id
-but not their text are documents of their own, and those without a doc_id are treated like any other. Null texts count as empty
+one's docs. All but the last return the columns of documents. Rows that share a doc_id but not their text are documents of their
+own, and those without a doc_id are treated like any other. Null texts count as empty
 throughout.
 """
 
@@ -40,7 +40,10 @@ def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) ->
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
     ids = rows.groupBy("__key").agg(F.min("doc_id").alias("doc_id"))
     first = found.join(ids, "__key").groupBy("component_id").agg(F.min(order).alias("f")).select("f.__key")
-    return rows.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    # rows of one id and text may differ in other columns: the least of them stays
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rows.join(first, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*others, "doc_id", "text")).alias("one"))
+    return one.select("one.*").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +55,16 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document appears as often as the mix takes it. Rows that share a doc_id share the largest of their copies."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    """Every row appears as often as the mix takes it, whatever its doc_id. Rows are told apart by two hashes of all their
+    columns; of rows that are equal in all of them one stands for all, as often as they are taken together."""
+    key = ["__key", "__key2"]
+    rows = docs.withColumns({"__key": F.xxhash64(*docs.columns), "__key2": F.xxhash64(F.lit(1), *docs.columns)})
+    taken = keep(mixing.mix(rows, carry=tuple(key)).groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"), "taken")
+    single = rows.join(taken.where("__rows = 1"), key)
+    repeated = taken.where("__rows > 1")
+    several = rows.join(repeated.select(*key), key, "left_semi").dropDuplicates(key).join(repeated, key)
+    both = single.select(*docs.columns, "__copies").unionAll(several.select(*docs.columns, "__copies"))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
