@@ -41,12 +41,34 @@ def test_personal_data_on_odd_rows(spark, odd):
 
 
 def test_mixing_on_odd_rows(spark, odd):
-    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(odd).collect()}
-    got = collections.Counter((r.doc_id, r.text) for r in STAGES["mixing"](spark, odd, SMALL).collect())
-    for i in {i for i, _, _ in ODD}:
-        most = max(c for (j, _), c in copies.items() if j == i)
-        want = collections.Counter({(j, t): most * n for (j, t), n in collections.Counter((j, t) for j, t, _ in ODD if j == i).items() if most})
-        assert collections.Counter({k: n for k, n in got.items() if k[0] == i}) == want
+    """Each row has copies of its own; equal rows share theirs."""
+    copies = collections.Counter()
+    key = ("doc_id", "text", "source")
+    for r in mixing.mix(odd.withColumn("row", F.xxhash64(*odd.columns)).withColumn("t", F.col("text")), carry=("row", "t")).collect():
+        copies[r.doc_id, r.t, r.source] += r.copies
+    got = collections.Counter(tuple(r[c] for c in key) for r in STAGES["mixing"](spark, odd, SMALL).collect())
+    assert sum(got.values()) == sum(copies.values()) and {k[1] for k in got} <= {t for _, t, _ in ODD}
+    words = lambda c: {s: sum(n * len((t or "").split()) for (_, t, z), n in c.items() if z == s) for s in ("a", "b", "c", None)}
+    assert words(got) == words(copies)
+
+
+def test_mixing_hits_its_targets_whatever_the_ids(spark):
+    docs = table(spark, SMALL, "documents")
+    nobody = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    nobody = nobody.unionAll(nobody.limit(7)).unionAll(nobody.limit(7))
+    goal = {r.source: (r.n, r.target, r.top) for r in mixing.mix(nobody).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("target"), F.max("size").alias("top")).collect()}
+    out = [STAGES["mixing"](spark, d, SMALL) for d in (nobody, nobody.repartition(9))]
+    sizes = [{r.source: r.n for r in o.groupBy("source").agg(F.sum(mixing.size_of()).alias("n")).collect()} for o in out]
+    assert sizes[0] == sizes[1] == {s: n for s, (n, _, _) in goal.items()}  # so much as the operator itself takes
+    assert all(abs(n - t) < top for n, t, top in goal.values())
+    first, second = (collections.Counter(map(tuple, o.collect())) for o in out)
+    assert first == second
+
+
+def test_equal_ids_and_texts_leave_one_defined_row(spark, odd):
+    rows = spark.createDataFrame([(1, LONG, "en", s, 1) for s in ("c", "a", "b")] + [(1, LONG, "de", "a", 1)], odd.schema)
+    for order in (rows, rows.orderBy(F.desc("source")), rows.repartition(5)):
+        assert [tuple(r)[2:4] for r in STAGES["near_duplicates"](spark, order, SMALL).collect()] == [("de", "a")]
 
 
 def test_quality_and_pieces_on_odd_rows(spark, odd):
