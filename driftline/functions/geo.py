@@ -97,3 +97,23 @@ def shared_interval(ax: Column, ay: Column, bx: Column, by: Column, cx: Column,
     along = lambda x, y: F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), length)
     lo, hi = F.greatest(F.lit(0.0), along(cx, cy)), F.least(length, along(dx, dy))
     return F.when(hi > lo, lo), F.when(hi > lo, hi)
+
+
+#: The WGS 84 ellipsoid and the scale on a UTM zone's central meridian: fixed values.
+WGS84_A, WGS84_F, UTM_SCALE = 6_378_137.0, 1 / 298.257223563, 0.9996
+
+
+def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """(east, north) in metres of WGS 84 degrees in a UTM zone of the northern half, by the series in the third flattening; south of
+    the equator north is negative."""
+    n = WGS84_F / (2 - WGS84_F)
+    radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    sin, turn = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(sin) - e * F.atanh(e * sin))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, alpha in enumerate(terms, 1):
+        east, north = east + alpha * F.cos(2 * j * xi) * F.sinh(2 * j * eta), north + alpha * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500_000.0 + UTM_SCALE * radius * east, UTM_SCALE * radius * north
