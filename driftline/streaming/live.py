@@ -138,7 +138,7 @@ def follow(rows: DataFrame, ttl_s: float = 3600.0, late: str = "1 day", gap_s: f
     PARTIAL_MATCH set the time of the last match (that of the result) and what was moved to zero.
 
     A driver without a row for more than ttl_s is forgotten: EVICTED, at the time that ended, once, whether the watermark (`late` behind) or
-    the driver's own next row says so. Rows later than the watermark are lost. Start such a query within state_store().
+    the driver's own next row says so. Rows later than the watermark, and those before 1970, are lost. Start such a query within state_store().
     """
     rows = rows.select(*[c.split()[0] for c in INPUT.split(", ")]).where("user_id is not null and seq is not null").withColumn("at", F.timestamp_micros((F.col("at_s") * 1_000_000).cast("long"))).withWatermark("at", late)
     return rows.groupBy("user_id").transformWithStateInPandas(LiveTrace(ttl_s, gap_s, warm_up, still_m, every_s, every_m), OUTPUT, "Append", "EventTime")
