@@ -181,7 +181,12 @@ def offsets(track: dict, scale: int, sizes: list[int], span: int | None) -> list
 
 def parse(data: bytes) -> Media:
     """Reads a whole file; raises ValueError where its structure breaks."""
-    out, uint = Media(), lambda a, b: int.from_bytes(data[a:b], "big")
+    out = Media()
+
+    def uint(a: int, b: int) -> int:
+        if b - a > 8:
+            raise ValueError(f"an EBML number of {b - a} bytes at byte {a}")
+        return int.from_bytes(data[a:b], "big")
 
     def real(a: int, b: int) -> float:
         if b - a not in (0, 4, 8):
@@ -253,6 +258,9 @@ def parse(data: bytes) -> Media:
     for ident, _, a, b in top:
         if ident == SEGMENT:
             segment(a, b)
+    last = max((abs(t) for _, t, *_ in out.packets), default=0)
+    if last * out.scale >= 1 << 63 or max((p[0] for p in out.packets), default=0) >= 1 << 63:
+        raise ValueError("a track or a timestamp in nanoseconds is beyond 63 bits")
     return out
 
 
