@@ -115,7 +115,8 @@ def k3_evidence_saved_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), v.alias("v"))
     new = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 15 == 0, v + 1).otherwise(v).alias("v"))
     rows, conflicts = A.append_once(old, new, ["k"], "v")
-    return rows.agg(F.count("*").alias("inserted")).join(F.broadcast(conflicts.agg(F.count("*").alias("conflicts"))))  # one row each
+    both = rows.select(F.lit(1).alias("i"), F.lit(0).alias("c")).unionAll(conflicts.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("inserted"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("conflicts"))
 
 
 @query("k5_derived_refreshed", """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftline.operators import registry
 from driftline.plans.registry import query, table
 from driftline.session import new_path
 from driftline.streaming import live
@@ -72,3 +73,22 @@ def x7_live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     with live.state_store(spark):
         replay(stream, into, new_path(spark, "live-state"))
     return spark.read.parquet(into).select("user_id", F.coalesce("seq", F.lit(-1)).alias("seq"), "at_s", "status", "asks", F.coalesce("generation", F.lit(-1)).alias("generation"))
+
+
+@query("u1_registered_models", """
+WITH m AS (SELECT upper(trim(p_brand)) AS model, TIMESTAMP '1990-01-01' + INTERVAL 1 DAY * (p_partkey * 13 % 4000) AS since, CASE p_partkey % 3 WHEN 0 THEN 'range' WHEN 1 THEN 'energy' ELSE 'other' END AS rule, p_size::DOUBLE AS cap, (p_partkey % 5 * 40)::DOUBLE AS use FROM part),
+d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY model, since ORDER BY rule DESC, cap DESC, use DESC) = 1),
+e AS (SELECT l_orderkey, l_linenumber, p_brand AS model, l_shipdate AS at, l_quantity AS soc FROM lineitem JOIN part ON p_partkey = l_partkey),
+j AS (SELECT e.*, d.rule, d.cap, d.use FROM e ASOF LEFT JOIN d ON d.model = upper(trim(e.model)) AND e.at >= d.since)
+SELECT l_orderkey, l_linenumber, count(*) AS n, min(rule) AS rule, round(sum(CASE rule WHEN 'range' THEN cap * soc * 10 / nullif(use, 0) WHEN 'energy' THEN cap * soc / 100 END), 4) AS estimate FROM j GROUP BY ALL""")
+def u1_registered_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line by the model that was registered for its brand when it shipped, and by that model's own rule."""
+    p = F.col("p_partkey")
+    rule = F.when(p % 3 == 0, "range").when(p % 3 == 1, "energy").otherwise("other")
+    since = F.timestamp_micros(F.unix_micros(F.lit("1990-01-01 00:00:00").cast("timestamp")) + p * 13 % 4000 * 86_400_000_000)
+    entries = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), since.alias("since"), rule.alias("rule"), F.col("p_size").cast("double").alias("capacity_kwh"), (p % 5 * 40).cast("double").alias("consumption_wh_km"))
+    log = registry.registered(entries.limit(0), entries)
+    brands = table(spark, sf_dir, "part").select(p.alias("l_partkey"), F.col("p_brand").alias("model"))
+    events = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("soc_pct")).join(brands, "l_partkey").drop("l_partkey")
+    found = registry.with_models(events, log, {"range": registry.range_km(), "energy": registry.energy_kwh()})
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("m_rule").alias("rule"), F.round(F.sum("estimate"), 4).alias("estimate"))

@@ -23,9 +23,11 @@ def a6_coarser_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a8_metadata", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(DISTINCT o_custkey) FROM orders) AS drivers, (SELECT count(*) FROM events) AS events, (SELECT epoch(max(ts))::BIGINT FROM events) AS until")
 def a8_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("drivers"))
-    # one row each
-    return o.join(F.broadcast(table(spark, sf_dir, "events").agg(F.count("*").alias("events"), F.round(F.max(F.unix_micros("ts")) / 1e6).cast("long").alias("until"))))
+    """One aggregation over both tables: no row of one meets a row of the other."""
+    o = table(spark, sf_dir, "orders").select(F.lit(1).alias("o"), "o_custkey", F.lit(None).cast("long").alias("us"))
+    e = table(spark, sf_dir, "events").select(F.lit(None).cast("int"), F.lit(None).cast("long"), F.unix_micros("ts"))
+    both = o.unionAll(e)
+    return both.agg(F.count("o").alias("orders"), F.count_distinct("o_custkey").alias("drivers"), F.count_if(F.col("o").isNull()).alias("events"), F.round(F.max("us") / 1e6).cast("long").alias("until"))
 
 
 @query("a13_median_delay", "SELECT epoch(l_shipdate)::BIGINT AS at, median(1 + l_discount * 10) AS delay FROM lineitem GROUP BY l_shipdate")

@@ -113,7 +113,7 @@ def j12_active_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
     signups = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.col("ts").alias("since")).distinct()
     # the interval that holds at a time is the one that began last: no range join is needed
-    found = A.asof(errors, signups.withColumn("version", F.col("since")), "user_id", "ts", "since", ["version"])
+    found = A.asof(errors, signups.withColumn("version", F.col("since")), "user_id", "ts", "since", ["version"], bucket=86_400)
     return found.where("s_version is not null").select("event_id", expr.epoch(F.col("s_version")).alias("since"))
 
 
@@ -134,7 +134,8 @@ def k1_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = table(spark, sf_dir, "events").where("event_type = 'view'")
     there = views.where("event_id % 2 = 0").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     new, conflicts = A.append_once(there, views.select("user_id", "ts", "value"), ["user_id", "ts"], "value")
-    return new.agg(F.count("*").alias("inserted")).join(F.broadcast(conflicts.agg(F.count("*").alias("conflicts"))))  # one row each
+    both = new.select(F.lit(1).alias("i"), F.lit(0).alias("c")).unionAll(conflicts.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("inserted"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("conflicts"))
 
 
 @query("k2_content_ids", "SELECT event_id, sha256('{\"ts\":' || (epoch_us(ts))::VARCHAR || ',\"user_id\":' || user_id::VARCHAR || '}') AS id FROM events")

@@ -82,12 +82,6 @@ def test_ordered_overlap_equals_brute_force():
             assert trajectory.ordered_overlap(list(a), wa, list(b), wb) == best[4][3]
 
 
-def test_polylines():
-    assert trajectory.decode_polyline("_p~iF~ps|U_ulLnnqC_mqNvxq`@") == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
-    with pytest.raises(ValueError):
-        trajectory.decode_polyline("_p~iF~ps|U_")
-
-
 def test_trace_stream(spark, tmp_path):
     rows = [(1, 1, 0.0, 0.0), (1, 2, 5.0, 20.0), (1, 2, 5.0, 20.0), (1, 3, 10.0, 60.0), (1, 4, 9.0, 61.0), (1, 5, 10.0, 61.0), (1, 6, 100.0, 70.0)]
     spark.createDataFrame(rows, "user_id long, event_id long, ts_s double, x double").coalesce(1).write.parquet(str(tmp_path / "in"))
