@@ -15,7 +15,7 @@ from driftline.plans.decision_queries import with_demand
 from driftline.plans.registry import SQL, query, table
 from driftline.plans.road_queries import SAMPLES, vertices
 from driftline.session import new_path
-from driftline.sources import readers, sinks
+from driftline.sources import osm, readers, sinks
 from driftline.streaming import trace
 
 
@@ -165,3 +165,26 @@ def u7_learned_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda p: F.round(F.avg((p == F.col("label")).cast("double")), 4)
     one = got.agg(F.count("*").alias("n"), right(F.col("prediction")).alias("learned"), right((F.col("soc") <= 20).cast("double")).alias("rule"))
     return one.select("n", F.explode(F.create_map(F.lit("learned"), F.col("learned"), F.lit("rule"), F.col("rule"))).alias("model", "accuracy"))
+
+
+@query("s10_osm_extract", """
+WITH p AS (SELECT l_orderkey AS way_id, l_linenumber AS k, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+n AS (SELECT DISTINCT p % 97 AS la, p % 89 AS lo FROM p)
+SELECT 'node' AS kind, count(*) AS n, sum(la * 100 + lo)::BIGINT AS ids, 0::BIGINT AS refs, 0::BIGINT AS ends, sum(210000000 + la * 1000)::BIGINT AS lat7, 0::BIGINT AS oneway FROM n
+UNION ALL SELECT 'way', count(DISTINCT way_id), (SELECT sum(w) FROM (SELECT DISTINCT way_id AS w FROM p))::BIGINT, count(*), sum(p % 97 * 100 + p % 89)::BIGINT, 0, (SELECT count(DISTINCT way_id) FROM p WHERE way_id % 3 = 0) FROM p""")
+def s10_osm_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways and their nodes written as map extracts, read back by many tasks, and counted by kind."""
+    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("k")).agg(F.min("l_partkey").alias("p"))
+    one = one.select("way", "k", (F.col("p") % 97).alias("la"), (F.col("p") % 89).alias("lo"))
+    node, none = F.col("la") * 100 + F.col("lo"), F.lit(None)
+    nodes = one.select("la", "lo").distinct().select(F.lit("node").alias("kind"), node.alias("id"), (21 + F.col("la") / 10_000).alias("lat"), (105.8 + F.col("lo") / 10_000).alias("lon"), none.cast("array<long>").alias("refs"), none.cast("map<string,string>").alias("tags"))
+    refs = one.groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", node.alias("node")))), lambda x: x["node"]).alias("refs"))
+    tags = F.when(F.col("way") % 3 == 0, F.create_map(F.lit("highway"), F.lit("road"), F.lit("oneway"), F.lit("yes"))).otherwise(F.create_map(F.lit("highway"), F.lit("road")))
+    ways = refs.select(F.lit("way").alias("kind"), F.col("way").alias("id"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), "refs", tags.alias("tags"))
+    path = new_path(spark, "osm")
+    osm.write(nodes.unionAll(ways), path)
+    spark.dataSource.register(osm.OsmSource)
+    back = spark.read.format("osm_pbf").load(path).where("kind <> 'header'")
+    long = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    ends = F.aggregate(F.coalesce("refs", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return back.groupBy("kind").agg(F.count("*").alias("n"), long("id").alias("ids"), long(F.coalesce(F.size("refs"), F.lit(0))).alias("refs"), long(ends).alias("ends"), long(F.round(F.col("lat") * 1e7).cast("long")).alias("lat7"), long((F.element_at("tags", "oneway") == "yes").cast("int")).alias("oneway"))
