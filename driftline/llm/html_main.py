@@ -31,8 +31,10 @@ MOST_LABELLED, MOST_CHARACTERS, LAID_OUT, SEED = 100, 20_000_000, 500, 5
 
 # HTML's element groups, and words that classes, ids and tags carry.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object title select".split())
+RAW = frozenset("script style noscript template textarea svg iframe object title select annotation annotation-xml".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+FORMULA = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mspace mstyle semantics".split())
+INLINE |= FORMULA
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTROLS = frozenset("input button textarea select".split())
@@ -50,7 +52,7 @@ TALK = re.compile(r"\b(?:repl(?:y|ies)|says?|said|wrote|posted|ago|comments?|res
 
 FEATURES = 44
 _ATTRIBUTES = r"((?>[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+)*+)"  # a quote opens a value only right after =
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+){_ATTRIBUTES}(?:>|\Z)", re.S)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+){_ATTRIBUTES}(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LABEL = re.compile(r"data-l=\"(\d)\"")
@@ -163,7 +165,7 @@ def tree_of(page: str) -> Tree:
             elif tag in ("p", "br"):
                 end_block() if tag == "p" else parts.append(" ")
             continue
-        if tag in RAW and not attributes.endswith("/"):
+        if tag in RAW and not (tag == "svg" and attributes.endswith("/")):  # only foreign elements close themselves
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n
             if tag in CONTROLS:
@@ -178,6 +180,8 @@ def tree_of(page: str) -> Tree:
                 parts.append(" " if tag != "wbr" else "")
             continue
         if tag in INLINE:
+            if attributes.endswith("/") and tag in FORMULA:
+                continue
             stack.append((tag, stack[-1][1]))
             open_[tag] = open_.get(tag, 0) + 1
             continue
@@ -375,6 +379,22 @@ def labelled_page(rng: random.Random, names: dict[str, str] = NAMES, speaking: f
     def text(k: int) -> str:
         return "".join(f"<p>{say(*rng.choice(((1, 5), (6, 60), (20, 60))))}.</p>" for _ in range(k))
 
+    def table() -> str:
+        row = lambda cell, k: "<tr>" + "".join(f"<{cell}>{rng.choice([say(1, 3), str(rng.randint(1, 3000))])}</{cell}>" for _ in range(k)) + "</tr>"
+        k = rng.randint(2, 4)
+        return "<table>" + (row("th", k) if rng.random() < 0.5 else "") + "".join(row("td", k) for _ in range(rng.randint(1, 5))) + "</table>"
+
+    def definitions() -> str:
+        return "<dl>" + "".join(f"<dt>{say(1, 2)}</dt><dd>{say(2, 12)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+
+    def figure() -> str:
+        return f"<figure><img><figcaption>{say(2, 12)}</figcaption></figure>" if rng.random() < 0.5 else f"<pre>{say(3, 30)}</pre>"
+
+    def listing() -> str:
+        item = lambda: f'<a href="#">{say(1, 6)}</a>' if rng.random() < 0.5 else f'{say(1, 6)} <a href="#">{say(1, 2)}</a>'
+        tag = rng.choice(["ul", "ol"])
+        return f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(rng.randint(2, 5))) + f"</{tag}>"
+
     def comments() -> str:
         tag, inner = rng.choice(["div", "li", "article", "section"]), rng.choice(["b", "span", "h4", "cite"])
         item = lambda: f'<{tag} class="{words[3]}-{words[5]}" data-l="0"><{inner}>{say(1, 2)}</{inner}><p>{say(4, 60)}.</p>{rng.choice(["", "<a href=#>Reply</a>", "<span>2 days ago</span>"])}</{tag}>'
@@ -407,9 +427,12 @@ def labelled_page(rng: random.Random, names: dict[str, str] = NAMES, speaking: f
         inner.append("<ul>" + "".join(f"<li>{say(2, 14)}</li>" for _ in range(4)) + "</ul>")
     if rng.random() < 0.3:
         inner.append(f"<blockquote>{say(5, 30)}.</blockquote><p>{say(3, 12)} <a href='#'>{say(1, 3)}</a> {say(3, 20)}.</p>")
+    for piece in (table, definitions, figure, listing):
+        if rng.random() < 0.15:
+            inner.insert(rng.randint(1, len(inner)), piece())
     bare = rng.random() < 0.12  # without an element of its own around the article
     if bare:
-        inner = [re.sub(r"<(h1|h2|p|ul|blockquote)>", r'<\1 data-l="1">', x) for x in inner]
+        inner = [re.sub(r"<(h1|h2|p|ul|blockquote|table|dl|figure|pre)>", r'<\1 data-l="1">', x) for x in inner]
     for kind in inside:
         if rng.random() < (0.1 if bare else 0.3):
             inner.insert(rng.randint(1, len(inner)), off(kind))
@@ -472,7 +495,7 @@ def extract(pages: DataFrame, model: Potentials, most_nodes: int = 200_000) -> D
         out = []
         for (page_id, url, t), s in zip(rows, starts, strict=True):
             leaves = [i for i, x in enumerate(t.text) if x is not None]
-            kept = [t.text[i] for i in leaves if found[s + i] >= 0.5]
+            kept = [t.text[i] for i in leaves if found[s + i] >= 0.5 or len(t.parent) == len(leaves) + 1]  # plain text without an element
             text = "\n".join(kept)
             out.append((page_id, url, text, len(text), len(kept), len(leaves) - len(kept)))
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), names.values(), strict=True)], names=list(names))
