@@ -74,17 +74,6 @@ def differing(own: str, other: str) -> list[Column]:
     return [F.array_join(sections, ",").alias("edited_sections"), F.array_join(at, ",").alias("edited_paragraphs")]
 
 
-#: Words of up to 24 characters; of longer runs (texts without spaces) each character.
-TOKEN = r"(?<!\S)\S{1,24}(?!\S)|\S"
-
-
-def shingles(text: Column) -> Column:
-    """Distinct hashes of every four neighbouring tokens of a paragraph, overlapping: an inserted word changes four of them."""
-    tokens = F.transform(F.split(text, "\n", -1), lambda p: F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0)))
-    of = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 3, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, 4)))
-    return F.array_distinct(F.flatten(F.transform(F.filter(tokens, lambda t: F.size(t) > 0), of)))
-
-
 def next_key(keys: DataFrame, key: str, bits: int = LEVEL_BITS) -> DataFrame:
     """key, next_key: the next larger value for each distinct long, null for the largest. No window holds more than
     2**bits values: the last key of each window looks to the first key of the next window, level by level."""
@@ -145,25 +134,6 @@ def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shingle_likeness(a: str, b: str) -> Column:
-    """As likeness, for texts of columns a and b with their shingles in a_s and b_s."""
-    both = F.size(f"{a}_s") + F.size(f"{b}_s")
-    return F.when(F.col(a) == F.col(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(f"{a}_s", f"{b}_s")) / both)
-
-
-def near_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, near_edited, near_next of every row, by overlapping shingles; else as op1_merkle."""
-    df = with_next(docs).withColumn("n", F.length("text"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    df = df.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n") - half), F.col("next_text").substr(F.lit(1), half)))
-    df = df.withColumns({f"{c}_s": shingles(F.col(c)) for c in ("text", "edited", "next_text")})
-    return df.select("doc_id", shingle_likeness("text", "edited").alias("near_edited"), shingle_likeness("text", "next_text").alias("near_next"))
-
-
-def op1_merkle_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_documents(table(spark, sf_dir, "documents"))
-
-
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,

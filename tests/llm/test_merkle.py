@@ -48,3 +48,11 @@ def test_a_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, text + "!")], "doc_id long, text string")
     got = {r.doc_id: r for r in merkle.fingerprint_documents(df).select("doc_id", merkle.likeness("own", "following").alias("n"), *merkle.differing("own", "following")).collect()}
     assert len(text) > 2_000_000 and 0.99 < got[1].n < 1 and got[1].edited_paragraphs == "1.60000"
+
+
+def test_a_word_inserted_at_the_start(spark):
+    line = " ".join(f"word{i}" for i in range(120))
+    df = spark.createDataFrame([(1, line), (2, "new " + line), (3, None), (4, " "), (5, "one two"), (6, "one two")], "doc_id long, text string")
+    got = {r.doc_id: r.v for r in merkle.fingerprint_documents(df).select("doc_id", merkle.likeness("own", "following").alias("v")).collect()}
+    assert got[1] > 0.9  # leaves are cut by their content, so those after the inserted word stay as they are
+    assert [got[i] for i in (2, 3, 4, 5)] == [0.0, 0.0, 0.0, 1.0]
