@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -109,3 +109,28 @@ def tags(text: Column) -> Column:
 def sound_array(values: Column, least: int, most: int) -> Column:
     """Length within bounds, and every number there, finite and not negative."""
     return F.size(values).between(least, most) & F.forall(values, lambda x: finite(x) & F.coalesce(x >= 0, F.lit(False)))
+
+
+def softmax(score: Column, group: list[str], beta: float = 1.0) -> Column:
+    """How likely each row of a group is chosen where a lower score is better: exp(-beta * score), scaled by the best row so that
+    nothing overflows, over the group's sum. Null scores have null and count for nothing."""
+    w = Window.partitionBy(*group)
+    weight = F.exp(-beta * (score - F.min(score).over(w)))
+    return weight / F.sum(weight).over(w)
+
+
+def on_simplex(weights: Column, floor: float = 0.0) -> Column:
+    """The nearest weights (array of double) that are at least `floor` each and one in all; null for no weights, nulls, or a floor
+    that leaves no room."""
+    n = F.size(weights)
+    room = 1.0 - floor * n
+    down = F.reverse(F.array_sort(F.transform(weights, lambda x: x - floor)))
+
+    def shifted(us: Column) -> Column:
+        # the shift that k largest weights need; the last k whose own weight is above it counts
+        needs = F.transform(F.sequence(F.lit(1), F.size(us)), lambda k: F.struct(F.get(us, k - 1).alias("u"), ((F.aggregate(F.slice(us, F.lit(1), k), F.lit(0.0), lambda acc, x: acc + x) - room) / k).alias("t")))
+        least = F.element_at(F.filter(needs, lambda x: x["u"] > x["t"]), -1)["t"]
+        return F.transform(weights, lambda x: F.greatest(x - floor - least, F.lit(0.0)) + floor)
+
+    sound = (n > 0) & F.forall(weights, lambda x: x.isNotNull()) & (room >= 0)
+    return F.when(sound, F.element_at(F.transform(F.array(down), shifted), 1))
