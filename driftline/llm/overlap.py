@@ -103,15 +103,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text")).mapInArrow(run, "doc_id long, set_id long, fp long, bands array<long>")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """set_id, n, shingles (8 bytes each) of each batch's distinct sets, so that a text of many copies is one row a batch."""
+#: Bits of the marks that leave out most sets that are nobody's candidate before they are sent: 2 MB at any size of the input.
+MARK_BITS = 1 << 24
+
+
+def marks_of(ids: DataFrame, key: str) -> np.ndarray:
+    """Marks, a bit for each value of the low bits of an id; what has no mark is not among the ids. MARK_BITS / 64 numbers at most
+    reach the driver."""
+    low = F.col(key).bitwiseAND(MARK_BITS - 1)
+    found = ids.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(low & 63 AS INT))".replace("low", f"`{key}`"))).alias("bits")).collect()
+    out = np.zeros(MARK_BITS // 64, np.uint64)
+    if found:
+        out[[r.word for r in found]] = np.array([r.bits for r in found], np.int64).view(np.uint64)
+    return out
+
+
+def sets(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """set_id, n, shingles (8 bytes each) of each batch's distinct sets that are marked, so that a text of many copies is one row a
+    batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = {}
             for text in dict.fromkeys(b.column(0).to_pylist()):
                 data = shingles(text).tobytes()
-                found[xxhash.xxh64_intdigest(data, SEED)] = data
+                i = xxhash.xxh64_intdigest(data, SEED)
+                if int(marks[(i & MARK_BITS - 1) >> 6]) >> (i & 63) & 1:
+                    found[i] = data
             ids = np.array(list(found), np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) // 8 for x in found.values()], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["set_id", "n", "shingles"])
 
@@ -139,7 +157,7 @@ def links(docs: DataFrame, own: DataFrame, block: int = BLOCK) -> DataFrame:
     banded = rows.join(low, "key").where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b"))
     chained = components(banded.union(sketched(own)).distinct(), "chained")
     groups = keep(chained.union(chained.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    found = sets(docs).join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("root", "set_id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    found = sets(docs, marks_of(groups, "node")).join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("root", "set_id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     found = keep(found, "sets")
     chunks = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     large = found.groupBy("root").agg(chunks.alias("chunks")).where("chunks > 1")
