@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of docs (all their columns) whose score reaches the threshold. Repeated rows share their score; null texts
     are scored as empty ones. The labels' ids name documents of docs."""
     marks = _learned(labels).withColumnRenamed("doc_id", "__id")
-    learned = docs.select(F.col("doc_id").cast("long").alias("__id"), own_text().alias("text")).join(marks, "__id")
+    learned = docs.select(F.col("doc_id").cast("long").alias("__id"), own_text().alias("text")).join(F.broadcast(marks), "__id")  # about MOST_LABELS rows at most
     model = fit(learned.select(statistics_of("text").alias("s"), "label").select("s.*", "label"))
     scored = docs.withColumn("__stats", statistics_of(own_text()))
     return scored.where(model.score("__stats.") >= threshold).select(docs.columns)
