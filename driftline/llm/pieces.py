@@ -15,21 +15,24 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import own_text, table
+from driftline.llm.steps import Steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED, ZIPF = 0.5, 3, 10.0
 #: Characters of the texts that are sampled together.
 AT_ONCE = 2_000_000
+#: Characters of their distinct units that are filtered together.
+FILTERED_AT_ONCE = 200_000
 SIGN = "▁"
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 
@@ -65,19 +68,24 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": None}
 
-    def automaton(self) -> tuple:
-        """Built once in each Python worker."""
+    def trie(self) -> tuple[Steps, np.ndarray, np.ndarray]:
+        """The trie of the pieces, the piece that ends at each of its states or -1, and which characters are pieces. Built once
+        in each task."""
         if self._ready is None:
-            a = ahocorasick.Automaton()
+            states: dict[tuple[int, str], int] = {}
+            ends = {}
             for piece, i in self.pieces.items():
-                a.add_word(piece, i)
-            a.make_automaton()
-            lengths = np.zeros(self.size, np.int64)
-            for piece, i in self.pieces.items():
-                lengths[i] = len(piece)
+                state = 0
+                for c in piece:
+                    state = states.setdefault((state, c), len(states) + 1)
+                ends[state] = i
+            sources = np.fromiter((s for s, _ in states), np.int64, len(states))
+            chars = np.fromiter((ord(c) for _, c in states), np.int64, len(states))
+            piece_at = np.full(len(states) + 1, -1, np.int32)
+            piece_at[list(ends)] = list(ends.values())
             single = np.zeros(0x110000, bool)
             single[[ord(p) for p in self.pieces if len(p) == 1]] = True
-            self._ready = (a, lengths, single)
+            self._ready = (Steps(len(states) + 1, sources, chars, np.arange(1, len(states) + 1)), piece_at, single)
         return self._ready
 
 
@@ -88,53 +96,77 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def filtered_edges(vocab: Vocabulary, units: list[str]) -> tuple[np.ndarray, ...]:
+    """(end, start, code, share) of every edge in the units' lattices, by end, where unit u's first node comes after all nodes
+    of the units before it. share: this edge's and the earlier ones' part of the weight that comes into their end."""
+    steps, piece_at, single = vocab.trie()
+    text = "\n".join(units)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    last = first + sizes
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # All places walk the trie together; no piece holds the line end that joins the units.
+    classes = np.append(steps.classes[chars], np.int32(0))
+    at, state, length = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.int32), 0
+    found = []
+    while len(at):
+        to = steps(state, classes[at + length])
+        at, state, length = at[to >= 0], to[to >= 0].astype(np.int32), length + 1
+        piece = piece_at[state]
+        found.append((length, at[piece >= 0], piece[piece >= 0]))
+    inner = np.ones(len(chars), bool)
+    inner[last[:-1]] = False
+    odd = np.flatnonzero(inner & ~single[chars]).astype(np.int32)
+    found = [*reversed(found), (1, odd, (vocab.size + chars[odd]).astype(np.int32))]
+    end = np.concatenate([x + n for n, x, _ in found])
+    order = np.argsort(end, kind="stable")  # of those with one end the longest first, bytes last
+    start, code = (np.concatenate([x[k] for x in found])[order] for k in (1, 2))
+    end = end[order]
+    weight = np.append(vocab.weights, 0.0)[np.minimum(code, vocab.size)]
+    spelled = np.flatnonzero(code >= vocab.size)
+    c = code[spelled] - vocab.size
+    weight[spelled] = vocab.byte_weight ** (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+
+    # Edges stand in order of their end; level by level, those of each depth are taken in that order.
+    depth = end - np.repeat(first, sizes + 1)[start]
+    deepest = int(depth.max(initial=0))
+    order = np.argsort(depth.astype(np.int16) if deepest < 32_000 else depth, kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=deepest + 1))))[1:]
+    filtered = np.zeros(int(last[-1]) + 1)  # log of the forward value of each node
+    share = np.empty(len(end))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i = order[a:b]
+        e, before = end[i], filtered[start[i]]
+        nodes = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+        per = np.diff(np.concatenate((nodes, [b - a])))
+        top = np.maximum.reduceat(before, nodes)
+        part = weight[i] * np.exp(before - np.repeat(top, per))
+        total = np.add.reduceat(part, nodes)
+        filtered[e[nodes]] = top + np.log(total)
+        run = np.cumsum(part)
+        run -= np.repeat(np.concatenate(([0.0], run[nodes[1:] - 1])), per)
+        share[i] = run / np.repeat(total, per)
+    return end, start, code, share
+
+
 class Lattice:
     """Forward-filtered lattices of distinct units. Node first[u] + j stands before the j-th character of unit u. An edge
     comes into a node; `key` is the node plus the share of its weight up to and with this edge, so that one sorted search
     samples an edge. Codes from vocab.size on are characters spelled in bytes."""
 
     def __init__(self, vocab: Vocabulary, units: list[str]) -> None:
-        automaton, lengths, single = vocab.automaton()
-        text = "\n".join(units)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         self.first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         self.last = self.first + sizes
-        found = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
-        end, code = found[:, 0] + 1, found[:, 1]
-        start, weight = end - lengths[code], vocab.weights[code]
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        inner = np.ones(len(chars), bool)
-        inner[self.last[:-1]] = False  # what joins the units
-        odd = np.flatnonzero(inner & ~single[chars])
-        spelled = 1 + (chars[odd] > 0x7F) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
-        if len(odd):
-            end = np.concatenate((end, odd + 1))
-            order = np.argsort(end, kind="stable")
-            end, start = end[order], np.concatenate((start, odd))[order]
-            code = np.concatenate((code, vocab.size + chars[odd]))[order]
-            weight = np.concatenate((weight, vocab.byte_weight**spelled))[order]
-
-        # Edges stand in order of their end; level by level, those of each depth are taken in that order.
-        depth = end - np.repeat(self.first, sizes + 1)[start]
-        deepest = int(depth.max(initial=0))
-        order = np.argsort(depth.astype(np.int16) if deepest < 32_000 else depth, kind="stable")
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=deepest + 1))))[1:]
-        filtered = np.zeros(int(self.last[-1]) + 1)  # log of the forward value of each node
-        share = np.empty(len(end))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            i = order[a:b]
-            e, before = end[i], filtered[start[i]]
-            nodes = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
-            per = np.diff(np.concatenate((nodes, [b - a])))
-            top = np.maximum.reduceat(before, nodes)
-            part = weight[i] * np.exp(before - np.repeat(top, per))
-            total = np.add.reduceat(part, nodes)
-            filtered[e[nodes]] = top + np.log(total)
-            run = np.cumsum(part)
-            run -= np.repeat(np.concatenate(([0.0], run[nodes[1:] - 1])), per)
-            share[i] = run / np.repeat(total, per)
-        self.end, self.start, self.code = end, start, code
-        self.key = end + np.minimum(share, 1.0) * (1 - 1e-9)
+        # some units after the others: what filtering needs beside its results does not grow with their number
+        cuts = np.unique(np.searchsorted(self.first, np.arange(0, int(self.first[-1]) + 1, FILTERED_AT_ONCE)))
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(units)], strict=True):
+            end, start, code, share = filtered_edges(vocab, units[a:b])
+            key = end + self.first[a] + np.minimum(share, 1.0) * (1 - 1e-9)
+            for held, x in zip(parts, ((end + self.first[a]).astype(np.int32), (start + self.first[a]).astype(np.int32), code, key), strict=True):
+                held.append(x)
+        self.key, self.code, self.start, self.end = (np.concatenate(parts.pop()) for _ in range(4))
 
     def sample(self, units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all occurrences in order, codes of each). seeds: uint64 for each occurrence."""
@@ -201,13 +233,15 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.out.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of a batch (key, text) in portions of AT_ONCE characters at most, or of one text."""
+    sizes = pc.utf8_length(batch.column(1)).to_pylist()
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= AT_ONCE):
-            size, j = size + len(texts[j]), j + 1
-        yield keys[i:j], texts[i:j]
+        while j < len(sizes) and (j == i or size + sizes[j] <= AT_ONCE):
+            size, j = size + sizes[j], j + 1
+        yield batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist()
         i = j
 
 
@@ -221,7 +255,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, sharpness: float = SHARPNES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, texts in _portions(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for keys, texts in _portions(b):
                 rows = encode_texts(vocab, keys, texts, seed)
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32)))
@@ -249,7 +283,7 @@ def round_trip(docs: DataFrame, model_file: str = MODEL, sharpness: float = SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, texts in _portions(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for keys, texts in _portions(b):
                 rows = encode_texts(vocab, keys, texts, seed)
                 same = [decode_ids(vocab, r) == t for r, t in zip(rows, texts, strict=True)]
                 digests = [hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows]
