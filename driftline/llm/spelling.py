@@ -72,7 +72,8 @@ def near_words(words: DataFrame) -> DataFrame:
     shorter = spread(all_words, None, F.col("size"))
     longer = spread(without, None, F.col("size") - 1)
     same = spread(without, None, F.col("size"))
-    named = lambda rows: rows.select(*by, F.col("word").alias("other"), F.col("n").alias("other_n"))
+    # without the hint Spark sizes both sides by the file below the explodes and may broadcast what is many times as large
+    named = lambda rows: rows.select(*by, F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge")
     met = shorter.join(named(longer), by).union(same.join(named(same), by).where("word < other"))
     sure = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
     return sure.union(sure.select("other", "other_n", "word", "n"))
