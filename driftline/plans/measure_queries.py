@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions import expr, geo
 from driftline.operators import checks, ranking, sessions
-from driftline.plans.decision_queries import EXPANDED, RANKED, candidates, ranked
+from driftline.plans.decision_queries import EXPANDED, RANKED, first_eligible, ranked
 from driftline.plans.registry import query, table
 
 
@@ -140,7 +140,7 @@ def w16_stationary_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w11_nearest_pool", EXPANDED + "SELECT request_id, count(*) AS pool, round(max(distance_m), 3) AS widest FROM (SELECT * FROM cand WHERE verdict = 'ELIGIBLE' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_m, station_id, service) <= 8) GROUP BY request_id")
 def w11_nearest_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ranking.first_n(candidates(spark, sf_dir).where("verdict = 'ELIGIBLE'"), ["request_id"], ["distance_m", "station_id", "service"], 8)
+    near = ranking.first_n(first_eligible(spark, sf_dir, 8, 1.0, F.lit(0), F.lit(0)), ["request_id"], ["distance_m", "station_id", "service"], 8)
     return near.groupBy("request_id").agg(F.count("*").alias("pool"), F.round(F.max("distance_m"), 3).alias("widest"))
 
 

@@ -2,8 +2,9 @@
 
 import pytest
 
-from driftline.operators import corridor
-from driftline.plans import corridor_queries
+from driftline.operators import blocks, corridor
+from driftline.plans import corridor_queries, decision_queries
+from driftline.plans.catalog import QUERIES
 from tests.conftest import SMALL
 
 
@@ -26,3 +27,19 @@ def test_pieces_of_trips_are_not_broadcast(trips):
 def test_trip_events_are_one_pass(trips):
     _, _, *given = trips
     assert "Union" not in plan_of(corridor.trip_events(given[0], corridor.labelled(corridor.followed(*given))))
+
+
+@pytest.mark.parametrize("name", ["t1_rank_topn", "w10_label_cost_rank", "p31_choice_cost", "a18_agreement", "w11_nearest_pool"])
+def test_first_stations_found_in_blocks_are_the_first_of_all(spark, monkeypatch, name):
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(QUERIES[name](spark, SMALL))
+    monkeypatch.setattr(decision_queries, "FEW", 0)
+    monkeypatch.setattr(blocks, "BLOCK", 2)
+    assert key(QUERIES[name](spark, SMALL)) == want
+
+
+def test_few_pairs_leave_a_block(spark):
+    asks = spark.createDataFrame([(i, 1, "SWAP", 21.0 + i * 1e-4, 105.8, 100.0) for i in range(50)], "request_id long, area int, service string, lat double, lon double, range_km double")
+    places = spark.createDataFrame([(i, 1, "SWAP", 21.0 + i * 1e-4, 105.8, 0.0, 0.0) for i in range(300)], "station_id long, area int, service string, s_lat double, s_lon double, fixed double, share double")
+    got = sorted((r.request_id, r.station_id) for r in blocks.likely(asks, places, 1, 1.0).collect())
+    assert got == [(i, i) for i in range(50)]
