@@ -80,3 +80,45 @@ def likely(asks: DataFrame, places: DataFrame, n: int, rate: float) -> DataFrame
         return pa.concat_tables(found) if found else schema.empty_table()
 
     return left.groupBy("area", "part").cogroup(right.groupBy("area", "part")).applyInArrow(block, ", ".join(f"{k} {v}" for k, v in empty.items()))
+
+
+def in_range(asks: DataFrame, places: DataFrame) -> DataFrame:
+    """request_id, service, kind, near, total: how many places of each kind, of the area and service of a request, are within its range, and
+    how many there are. Kinds that no place has in the area have no row.
+
+    asks as for likely, each request and service once; places: area, service, s_lat, s_lon, kind, ranged (false: all of them count as near).
+    """
+    sizes = asks.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    left = asks.join(sizes, "area").withColumn("part", F.pmod(F.xxhash64("request_id"), F.col("parts")).cast("int")).drop("parts")
+    right = places.join(sizes, "area").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    schema = pa.schema([("request_id", pa.int64()), ("service", pa.string()), ("kind", pa.string()), ("near", pa.int64()), ("total", pa.int64())])
+
+    def block(a: pa.Table, p: pa.Table) -> pa.Table:
+        mine, at = ({c: x.to_numpy(zero_copy_only=False) for c, x in zip(t.column_names, t.columns, strict=True)} for t in (a, p))
+        found = []
+        for service in sorted(set(mine["service"])):
+            own, these = ({c: x[t["service"] == service] for c, x in t.items()} for t in (mine, at))
+            for kind in sorted(set(these["kind"])):
+                of = {c: x[these["kind"] == kind] for c, x in these.items()}
+                near = _near(own, of) if of["ranged"][0] else np.full(len(own["lat"]), len(of["kind"]))
+                n = len(near)
+                found.append(pa.table([pa.array(own["request_id"], pa.int64()), pa.array([service] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(near, pa.int64()), pa.array([len(of["kind"])] * n, pa.int64())], schema=schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    return left.groupBy("area", "part").cogroup(right.groupBy("area", "part")).applyInArrow(block, "request_id long, service string, kind string, near long, total long")
+
+
+def _near(asks: dict, places: dict) -> np.ndarray:
+    """How many places each request reaches, by the rule of energy.feasible over metres rounded to thousandths."""
+    reach = np.where(np.isfinite(asks["range_km"]) & (asks["range_km"] > 0), asks["range_km"], -1.0)
+    # along the meridian and then along the parallel is no shorter than the way there
+    span = lambda at, to: np.radians(np.maximum(np.abs(places[to].max() - asks[at]), np.abs(asks[at] - places[to].min())))
+    farthest = MEAN_RADIUS * (span("lat", "s_lat") + span("lon", "s_lon"))
+    near = np.where((farthest + 1) / 1000 + MARGIN_KM <= reach, len(places["s_lat"]), 0).astype("int64")
+    open_ = np.nonzero((near == 0) & (reach >= MARGIN_KM))[0]
+    step = max(1, CELLS // len(places["s_lat"]))
+    for i in range(0, len(open_), step):
+        rows = open_[i : i + step]
+        metres = np.floor(_distances({c: asks[c][rows] for c in ("lat", "lon")}, places) * 1000 + 0.5) / 1000
+        near[rows] = (metres / 1000 + MARGIN_KM <= reach[rows][:, None]).sum(axis=1)
+    return near

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions import expr, geo
 from driftline.operators import checks, ranking, sessions
-from driftline.plans.decision_queries import EXPANDED, RANKED, first_eligible, ranked
+from driftline.plans.decision_queries import EXPANDED, RANKED, counted, first_eligible, served, stations
 from driftline.plans.registry import query, table
 
 
@@ -68,8 +68,11 @@ def a24_supporting_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a25_best_time", RANKED + "SELECT request_id, floor(max(ref))::BIGINT AS whole_s, count(*) AS n FROM v GROUP BY request_id")
 def a25_best_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.col("travel_s") + F.col("wait_s") + F.col("service_s")
-    return ranked(spark, sf_dir).groupBy("request_id").agg(F.floor(F.greatest(F.lit(1.0), F.min(total))).alias("whole_s"), F.count("*").alias("n"))
+    fixed = F.coalesce(F.col("wait_min") * 60.0, F.lit(5400.0)) + F.col("service_min") * 60.0
+    total = F.round(F.col("distance_m") / 8.0, 3) + fixed
+    best = first_eligible(spark, sf_dir, 1, 1 / 8.0, fixed, F.lit(0)).groupBy("request_id").agg(F.floor(F.greatest(F.lit(1.0), F.min(total))).alias("whole_s"))
+    rows = counted(spark, sf_dir, served(stations(spark, sf_dir)).where("verdict = 'ELIGIBLE'"), F.lit("any"), F.lit(True))
+    return best.join(rows.groupBy("request_id").agg(F.sum("near").alias("n")), "request_id")
 
 
 @query("a28_replay_changes", """

@@ -29,7 +29,7 @@ def test_trip_events_are_one_pass(trips):
     assert "Union" not in plan_of(corridor.trip_events(given[0], corridor.labelled(corridor.followed(*given))))
 
 
-@pytest.mark.parametrize("name", ["t1_rank_topn", "w10_label_cost_rank", "p31_choice_cost", "a18_agreement", "w11_nearest_pool"])
+@pytest.mark.parametrize("name", ["t1_rank_topn", "w10_label_cost_rank", "p31_choice_cost", "a18_agreement", "w11_nearest_pool", "t3_eligible_first", "a25_best_time"])
 def test_first_stations_found_in_blocks_are_the_first_of_all(spark, monkeypatch, name):
     key = lambda df: sorted(map(str, df.collect()))
     want = key(QUERIES[name](spark, SMALL))
@@ -43,3 +43,10 @@ def test_few_pairs_leave_a_block(spark):
     places = spark.createDataFrame([(i, 1, "SWAP", 21.0 + i * 1e-4, 105.8, 0.0, 0.0) for i in range(300)], "station_id long, area int, service string, s_lat double, s_lon double, fixed double, share double")
     got = sorted((r.request_id, r.station_id) for r in blocks.likely(asks, places, 1, 1.0).collect())
     assert got == [(i, i) for i in range(50)]
+
+
+@pytest.mark.parametrize("name", ["a1_verdict_counts", "a26_degraded_reasons", "p11_range_feasible", "p14_refreshed_duration", "x13_state_changed"])
+def test_counts_make_no_row_for_each_pair(spark, name):
+    # of requests and stations only what a block returns is a row: the former join on the area alone is gone
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "asin" not in plan.lower()
