@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions import geo, tiles
 from driftline.operators.sessions import runs
+from driftline.session import written
 
 
 def node_id(lat: Column, lon: Column) -> Column:
@@ -82,10 +85,26 @@ def midpoints(vertices: DataFrame, route: str, order: str) -> DataFrame:
 def snapped(points: DataFrame, lines: DataFrame, radius_m: float, tie_m: float = 0.05, turn: float = 45.0) -> DataFrame:
     """(point_id, line_id, distance_m, ties, ambiguous): the nearest line of each point up to radius_m.
 
-    points: point_id, x, y; lines: line_id, ax, ay, bx, by (metres, of any length). A line stands in every tile up to radius_m
-    beside it, a point in its own, so they meet in one equi join and once. Within tie_m of the best the smallest line_id wins; where
+    points: point_id, x, y; lines: line_id, ax, ay, bx, by (metres, of any length). A line stands in every tile up to the radius
+    beside it, a point in its own, so they meet in one equi join and once. Where lines lie close, narrow tiles are searched first and only
+    points that found nothing there look farther; each round is written. Within tie_m of the best the smallest line_id wins; where
     headings of those differ by more than `turn` degrees the point is ambiguous.
     """
+    rounds, n = [radius_m], lines.count()
+    box = lines.agg(*[(F.max(F.greatest(a, b)) - F.min(F.least(a, b)) + 1).alias(name) for name, a, b in (("w", "ax", "bx"), ("h", "ay", "by"))]).first()
+    # a tile is to hold some hundred lines at most, were they dealt evenly
+    while n and rounds[0] > 8 * tie_m and n * (2 * rounds[0]) ** 2 > 100 * (box["w"] or 1) * (box["h"] or 1):
+        rounds.insert(0, rounds[0] / 4)
+    left, parts = points, []
+    for r in rounds[:-1]:
+        found = written(_snapped(left, lines, r, tie_m, turn), "snapped")
+        # all that ties with the nearest lies within the radius, too
+        parts.append(found.where(F.col("distance_m") <= r - tie_m))
+        left = written(left.join(parts[-1].select("point_id"), "point_id", "left_anti"), "unsnapped")
+    return reduce(DataFrame.unionByName, [*parts, _snapped(left, lines, radius_m, tie_m, turn)])
+
+
+def _snapped(points: DataFrame, lines: DataFrame, radius_m: float, tie_m: float, turn: float) -> DataFrame:
     wide = 2.0 * radius_m
     left = points.select("point_id", "x", "y", F.floor(F.col("x") / wide).alias("i"), F.floor(F.col("y") / wide).alias("j"))
     right = lines.withColumn("tile", F.explode(tiles.segment_tiles(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), wide, radius_m)))
@@ -99,6 +118,29 @@ def snapped(points: DataFrame, lines: DataFrame, radius_m: float, tie_m: float =
     return found.select("point_id", "line_id", "distance_m", "ties", (F.col("spread") > turn).alias("ambiguous"))
 
 
+def near_cells(places: DataFrame, radius_m: float, cell_m: float = 5.0) -> DataFrame:
+    """i, j, sure, near of every cell of the plane that a place (x, y) may be within radius_m of: sure if one place is so of the whole cell,
+    else near has the places that are so of a part of it. A dense crowd of places makes cells sure, not lists long."""
+    square, all_of = radius_m * radius_m, lambda c: F.sequence(F.floor((F.col(c) - radius_m) / cell_m), F.floor((F.col(c) + radius_m) / cell_m))
+    cells = places.select("x", "y").distinct().withColumn("i", F.explode(all_of("x"))).withColumn("j", F.explode(all_of("y")))
+    low = {c: F.col(k) * cell_m - F.col(c) for c, k in (("x", "i"), ("y", "j"))}
+    least = sum((F.pow(F.greatest(F.lit(0.0), low[c], -low[c] - cell_m), 2) for c in "xy"), F.lit(0.0))
+    most = sum((F.pow(F.greatest(F.abs(low[c]), F.abs(low[c] + cell_m)), 2) for c in "xy"), F.lit(0.0))
+    # a millimetre aside, so that rounding decides nothing
+    cells = cells.where(least <= square + 2e-3 * radius_m).withColumn("sure", most <= square - 2e-3 * radius_m)
+    sure = cells.groupBy("i", "j").agg(F.bool_or("sure").alias("sure"))
+    part = cells.join(sure.where("not sure").select("i", "j"), ["i", "j"], "left_semi").groupBy("i", "j").agg(F.collect_list(F.struct("x", "y")).alias("near"))
+    return sure.join(part, ["i", "j"], "left")
+
+
+def covered_samples(samples: DataFrame, places: DataFrame, radius_m: float, route: str, cell_m: float = 5.0) -> DataFrame:
+    """route, points, covered: how many samples (route, x, y) of each route there are, and lie within radius_m of any place (x, y)."""
+    cells = written(near_cells(places, radius_m, cell_m), "cells")
+    own = samples.select(route, "x", "y", F.floor(F.col("x") / cell_m).alias("i"), F.floor(F.col("y") / cell_m).alias("j")).join(cells, ["i", "j"], "left")
+    hit = F.col("sure") | F.exists("near", lambda p: F.pow(p["x"] - F.col("x"), 2) + F.pow(p["y"] - F.col("y"), 2) <= radius_m * radius_m)
+    return own.groupBy(route).agg(F.count("*").alias("points"), F.count_if(F.coalesce(hit, F.lit(False))).alias("covered"))
+
+
 def legs_and_detours(matrix: DataFrame, trips: DataFrame) -> DataFrame:
     """trips (trip_id, a, via, b) with leg1, leg2, direct, detour from a matrix (a, b, cost); nulls where a leg is missing."""
     cost = lambda p, q, name: matrix.select(F.col("a").alias(p), F.col("b").alias(q), F.col("cost").alias(name))

@@ -122,13 +122,8 @@ def j16_all_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _coverage(spark: SparkSession, sf_dir: str, routes: DataFrame) -> DataFrame:
     samples = roads.resampled(routes, "route", "k", 25.0)
     k = F.col("s_suppkey")
-    tile = lambda c, by=0: F.floor(F.col(c) / 40) + by
-    places = table(spark, sf_dir, "supplier").select((3.3 + k * 37 % 970).alias("sx"), (3.7 + k * 53 % 890).alias("sy"))
-    around = F.explode(F.array(*[F.struct(tile("sx", i).alias("i"), tile("sy", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("tile")
-    near = samples.withColumn("tile", F.struct(tile("x").alias("i"), tile("y").alias("j"))).join(places.select("sx", "sy", around), "tile")
-    hit = near.where(F.pow(F.col("sx") - F.col("x"), 2) + F.pow(F.col("sy") - F.col("y"), 2) <= 1600.0).select("route", F.col("k").alias("hit")).distinct()
-    both = samples.select("route", "k").join(hit.withColumnRenamed("route", "r"), (F.col("route") == F.col("r")) & (F.col("k") == F.col("hit")), "left")
-    return both.groupBy("route").agg(F.count("*").alias("points"), F.count("hit").alias("covered"))
+    places = table(spark, sf_dir, "supplier").select((3.3 + k * 37 % 970).alias("x"), (3.7 + k * 53 % 890).alias("y"))
+    return roads.covered_samples(samples, places, 40.0, "route")
 
 
 @query("g13_match_confidence", """
