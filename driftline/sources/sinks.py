@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,31 @@ def write_verified(df: DataFrame, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of every file; a file must be smaller than 2 GB."""
+    """(name, bytes, sha256) of every file. Large files are read in pieces through pyarrow.fs: local ones of more than WHOLE bytes, and all
+    of 2 GB and more, which Spark does not read whole."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    pieces = (F.col("length") > WHOLE) & (F.col("path").startswith("file:") | (F.col("length") >= 2_147_483_647))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = files.where(~pieces).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(pieces).select("path", name, F.col("length").alias("bytes"))
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(large.select("name", "bytes", F.pandas_udf(lambda paths: paths.map(_digest), "string")("path").alias("sha256")))
+
+
+#: Bytes of a file that a task holds whole.
+WHOLE = 1 << 26
+
+
+def _digest(path: str) -> str:
+    """sha256 of a file, a megabyte at a time."""
+    local = path.startswith("file:")
+    store, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+    found = hashlib.sha256()
+    with store.open_input_stream(at) as f:
+        while piece := f.read(1 << 20):
+            found.update(piece)
+    return found.hexdigest()
 
 
 def seal(df: DataFrame, path: str) -> DataFrame:
