@@ -100,3 +100,10 @@ def test_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "WHOLE", 1000)
     got = {r.name: (r.bytes, r.sha256) for r in sinks.digests(spark, str(tmp_path / "a b%20")).collect()}
     assert got == {n: (size, hashlib.sha256((tmp_path / "a b%20" / n).read_bytes()).hexdigest()) for n, size in (("small", 10), ("large", 5_000_000))}
+
+
+@pytest.mark.parametrize("name", ["j4_expand", "p10_eligibility", "p13_replenishment"])
+def test_pairs_are_made_by_many_tasks(spark, name):
+    # the file of requests is one split, and so was the task that made all pairs
+    df = QUERIES[name](spark, SMALL)
+    assert "REPARTITION_BY_NUM" in plan_of(df) and df.rdd.getNumPartitions() >= 16
